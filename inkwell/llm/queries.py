@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, sentences, splitting
+from inkwell.llm import bpe, lookalike, residue, sentences, splitting
 from inkwell.session import table
 
 
@@ -30,6 +30,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).filter("piece_no = 0").select("item_kind", "item_id", "para_pos")
 
 
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title and author with its consistent form."""
+    source = table(spark, sf_dir, "source_books").select(F.lit("source_books").alias("tab"), F.lit("title").alias("fld"), F.col("book_id").alias("id"), F.col("title").alias("text"))
+    published = table(spark, sf_dir, "published_books").select(F.lit("published_books").alias("tab"), F.inline(F.array(*(F.struct(F.lit(f).alias("fld"), F.col("catalog_id").alias("id"), F.col(f).alias("text")) for f in ("title", "author")))))
+    return lookalike.consistent_forms(source.unionByName(published).dropDuplicates(["tab", "fld", "id", "text"]), ["tab", "fld", "id"], "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_looking_pairs(p2_forms(spark, sf_dir), ["tab", "fld"], "id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(text_items(spark, sf_dir))
 
@@ -55,5 +66,19 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.filter("text <> row.original").select("row.doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_sentences, p7_ids, p7_round_trip)}
+def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind, characters and share of the residue in each document that holds some."""
+    return residue.find_residue(documents(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_residue(spark, sf_dir).select("doc_id")
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean corpus."""
+    return residue.clean_corpus(documents(spark, sf_dir)).select("doc_id", "source", "lang", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_sentences, p7_ids, p7_round_trip, p9_found, p9_residue, p9_clean)}
 ORACLES: dict[str, str] = {}

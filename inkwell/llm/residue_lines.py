@@ -1,0 +1,234 @@
+"""Labelled lines the residue models are fitted on: a bounded sample, all of it here.
+
+Every line is a whole sentence or line as a reader would meet it.  ``FIELDS``
+fill the blanks of the templates.
+"""
+
+FIELDS = "title author narrator user_name book.title book_title chapter_title section.ordinal section_ordinal release_date page.title name date".split()
+
+TEMPLATE = """
+{{ FIELD }}
+{{FIELD}}
+{{> footer }}
+{{ content }}
+Chapter {{ FIELD }}
+Read by {{FIELD}} for {{ listener | default('') }}.
+{% if FIELD %}Prologue{% endif %}
+{% for chapter in chapters %}
+Narrated by <%= FIELD %>.
+<%= FIELD %>
+Dear ${FIELD},
+${FIELD}
+Copyright $(year) by #{FIELD}.
+By {0}, read by {1}.
+{FIELD} and {FIELD_2}
+This recording is of %%FIELD%%.
+%%FIELD%%
+@@FIELD@@
+Title: __FIELD__
+__FIELD__
+«FIELD»
+<FIELD goes here>
+<insert FIELD here>
+&lt;FIELD&gt; %s %(FIELD)s
+[INSERT FIELD HERE]
+[Insert FIELD here]
+(insert FIELD)
+(insert dedication)
+[FIELD]
+TODO: add the FIELD.
+TBD: FIELD
+FIELD: N/A null null
+#VALUE!
+#REF! [object Object]
+#REF!
+[object Object]
+NaN undefined null
+The author, undefined undefined, was born in NaN.
+Dear [First Name],
+Thank you for ordering [Product].
+Yours, [Company]
+[Your Name]
+[Author Name]
+[Book Title]
+[Chapter Title]
+[Date of Publication]
+[Hier Titel einfügen]
+[Hier Autor einfügen]
+[Hier Kapitelname einfügen]
+[Insertar título]
+[Insertar nombre del autor]
+[insérer le titre ici]
+[insérer le nom de l’auteur ici]
+[लेखक यहाँ लिखें]
+[शीर्षक यहाँ लिखें]
+【请输入标题】
+【请输入作者姓名】
+此处填写作者。
+此处填写书名。
+此处填写章节标题。
+[ここにタイトルを入力]
+ここに著者名を入力してください。
+"""
+
+FILLER = """
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+Lorem ipsum dolor sit amet, quis enim amet aliqua minim veniam ut.
+Tempor dolor elit sed magna labore ipsum adipiscing.
+Sed elit adipiscing lorem tempor nostrud.
+Magna minim dolor elit tempor incididunt consectetur eiusmod lorem.
+Aliqua consectetur et sit do dolore veniam enim.
+Incididunt amet labore ipsum dolore aliqua magna et eiusmod sit adipiscing.
+Quis minim et sed ipsum sit.
+Do aliqua enim sit elit.
+Labore nostrud ut tempor et minim amet.
+Veniam incididunt do quis lorem sed ut.
+Et dolore elit amet, eiusmod nostrud aliqua.
+Adipiscing consectetur labore consectetur minim quis magna.
+Nostrud veniam enim tempor quis aliqua dolore.
+Dies ist ein Blindtext.
+Der richtige Text folgt später.
+Hier steht später der Text.
+Ceci est un texte de remplissage.
+Este es un texto de relleno.
+Chapter title goes in this line.
+Sample text: replace this paragraph with your own words.
+This is placeholder text.
+Text goes here.
+TK TK TK
+asdf asdf asdf qwer
+asdf qwer asdf
+这里是占位文字。
+这里是示例文字。
+ここはダミーテキストです。
+यह एक नमूना पाठ है।
+"""
+
+NOTICE = """
+404 Not Found
+403 Forbidden
+500 Internal Server Error
+502 Bad Gateway
+503 Service Temporarily Unavailable
+504 Gateway Timeout
+Internal Server Error
+Service Unavailable
+Please try again in 35 minutes.
+Please try again later.
+The requested URL /shelf/page was not found on this server.
+The requested URL /audio/book was not found on this server.
+The requested URL /read/text was not found on this server.
+An unexpected condition stopped the server from answering.
+An unexpected condition stopped the server from answering. Request id 9832
+The upstream reader did not answer within 3 seconds.
+Gateway timeout.
+Too many requests.
+Slow down and retry after 371 s.
+Access denied.
+You don't have permission to view /shelf/page.
+You don't have permission to view /read/text.
+You don't have permission to view /audio/book.
+Reference #3119.
+Request id 9832
+Your session has expired.
+Please sign in again to see this chapter.
+Sorry, we can't find the page you are looking for.
+It may have been moved or deleted.
+Please enable JavaScript to continue reading.
+Please enable JavaScript and cookies in your browser.
+You need to turn on scripts in your browser to use the player.
+Then reload this page.
+<noscript>Scripts are switched off, so this chapter cannot be shown.
+<noscript>Scripts are switched off, so this chapter cannot be shown.</noscript>
+</noscript>
+This site requires cookies and JavaScript.
+Checking your browser before granting access...
+Loading…
+Traceback (most recent call last):
+File "render.py", line 143, in section
+KeyError: 'title'
+Seite nicht gefunden (Fehler 404)
+Bitte aktivieren Sie JavaScript in Ihrem Browser, um diese Seite zu nutzen.
+Veuillez activer JavaScript pour afficher ce livre.
+Erreur 404 : page introuvable.
+Error: página no encontrada.
+Para leer este libro debe habilitar JavaScript en su navegador.
+请在浏览器中启用JavaScript后继续阅读。
+抱歉，您访问的页面不存在或已被删除。
+错误代码：404
+ページが見つかりません (エラー 404)
+JavaScriptを有効にしてください。
+पृष्ठ नहीं मिला (त्रुटि 404)
+कृपया जावास्क्रिप्ट चालू करें।
+"""
+
+#: Real prose that only speaks of such things, notes in brackets, and page furniture.
+PROSE = """
+The inscription read LOREM, and no sentry knew what it meant.
+The priest murmured “dolor, dolor” over the basket.
+Please enable the sentry to sleep, whispered the sentry; the scripts of the play can wait.
+“Access denied,” said the sentry, and the dusty letter stayed where it was.
+“Forbidden,” the pilot wrote under the garden, “until further notice.”
+“Sorry,” said the porter, “the mirror you are looking for went over the letter.”
+The sentry chalked 403 on the orchard door and painted the ledger.
+The porter chalked 404 on the bell door and described the ledger.
+The pilot chalked 500 on the harbour door and followed the candle.
+“Insert the key here,” whispered the amber child, and the garden opened.
+She had reached the text's end, and nothing was undefined any more but the ladder.
+The shelf-mark was %59, the price $62, the cover <torn>, the stove stubborn.
+He spent $64 and 5% of the rest on windows.
+The service was unavailable on Sundays, when the ferryman slept in the harbour.
+The page was not found, though they searched the wagon for 65 hours.
+The missing page was never found; the warden measured the harbour instead.
+This page was intentionally left to the warden, who described it.
+Try again later, said the note on the stove, so the warden tried again.
+An error in the wandering reckoning cost them {6, 10} barrels.
+Of {bell, book, candle} the warden chose the garden.
+The compositor kept the brace { in the upper case and its fellow } in the lower.
+The author’s name is left out here [see the errata on p. 36], and the title, too.
+All names of windows were left blank, as the custom was: Mr.
+——, of ——.
+The signboard read <<CLOCK & SONS>>, in rusted letters.
+NARRATOR [softly]: The binder lifted the chimney.
+[A door closes.
+The pilot laughs.]
+PILOT: You remembered my orchard!
+A note from a reader: the old player needed JavaScript, the new one begins at once, and the copper chapter is my favourite.
+She cut the template for the sail from the borrowed tower.
+[Illustration: a pale ledger]
+[Illustration]
+[Footnote 17: The older printing has “drawer” here.]
+[Transcriber's note: spelling kept.]
+„Zugang verboten“, sagte der Wächter vor der Scheune.
+La page manquait, et la rivière aussi.
+La página no estaba, y la llave tampoco.
+他在书页里找不到那一页，便把山路合上了。
+Home | Shelf | Help
+© the little shelf
+Back to the catalog
+Volver al inicio
+Little Shelf
+Menü
+首页 > 书架
+Ref: 52e89d63
+Winifred asked for a slower pace in part 24; the new build is 8.9 percent longer.
+In section 16 the narrator says “stove” where the page has “chimney”.
+Unabridged, 43 sections, 16 h 38 min.
+This recording of The Ledger was made from an edition of 1826.
+Thank you for The Bells!
+The Bells, by an unknown hand.
+CHAPTER IV
+Part the Second
+1784
+Am 4. März 1856.
+7 boats.
+12. Stove Tall Quarry
+"""
+
+
+def lines(text: str) -> list[str]:
+    out = []
+    for line in text.strip().splitlines():
+        out += [line.replace("FIELD", f) for field in FIELDS for f in ({field, field.upper().replace(".", "_"), field.replace(".", " ").replace("_", " ")})] if "FIELD" in line else [line]
+    return out

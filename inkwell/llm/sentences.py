@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,7 +110,7 @@ def _full_stop_ends(text: str, begin: int, at: int, nxt: int, start: int, line:
     found = _WORD_BEFORE.search(text, max(start, at - 30), at)
     if not found:
         return True
-    token = found.group(1)
+    token = unicodedata.normalize("NFC", found.group(1))
     last = token.rsplit(".", 1)[-1].rsplit("-", 1)[-1]
     after = text[nxt]
     if token in _WITHIN or last in _WITHIN:
