@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, lookalike, residue, sentences, splitting
-from inkwell.session import table
+from inkwell.llm import bpe, lookalike, mixing, residue, sentences, splitting
+from inkwell.session import cut, table
 
 
 def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,20 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.filter("text <> row.original").select("row.doc_id")
 
 
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source and n_tokens; written once, as the mix reads it more than once."""
+    return cut(bpe.encode_column(documents(spark, sf_dir), "doc_id", "text", counts_only=True, keep=("source",)))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(document_tokens(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, targets = document_tokens(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.report(mixing.mix(tokens, targets), tokens, targets)
+
+
 def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind, characters and share of the residue in each document that holds some."""
     return residue.find_residue(documents(spark, sf_dir))
@@ -80,5 +94,5 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.clean_corpus(documents(spark, sf_dir)).select("doc_id", "source", "lang", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_sentences, p7_ids, p7_round_trip, p9_found, p9_residue, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_sentences, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_residue, p9_clean)}
 ORACLES: dict[str, str] = {}
