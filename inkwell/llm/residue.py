@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,61 +22,78 @@ WINDOW, RATIO, COVERAGE = 12, 1.0, 0.7
 EVIDENCE = 10.0
 KINDS = ("template", "filler", "notice")
 
-_END = np.array(sorted(map(ord, ".!?…。！？।॥")), np.uint32)
-_WIDE_END = np.array(sorted(map(ord, "。！？।॥")), np.uint32)
-_CLOSE = np.array(sorted(map(ord, "\"'”’»」』)）]】")), np.uint32)
-_SPACE = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2003, 0x2007, 0x2009, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
-_LINE = np.array([10, 11, 13, 0x85, 0x2028, 0x2029], np.uint32)
+# What a code point is: bits for white space, line ends, sentence ends, the ends that need
+# no space after them, and closing marks.
+_SPACE, _LINE, _END, _WIDE, _CLOSE = 1, 2, 4, 8, 16
+
+
+@functools.lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    table = np.zeros(0x110000, np.uint8)
+    for bit, signs in (
+        (_SPACE, "\t\n\v\f\r \u0085\u00a0\u2003\u2007\u2009\u2028\u2029\u202f\u205f\u3000"),
+        (_LINE, "\n\v\r\u0085\u2028\u2029"),
+        (_END, ".!?…。！？।॥"),
+        (_WIDE, "。！？।॥"),
+        (_CLOSE, "\"'”’»」』)）]】"),
+    ):
+        table[[ord(c) for c in signs]] |= bit
+    return table
+
+
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Small letters' code points of all texts, digits as 0, a line end after each; and the length of each."""
+    low = pc.binary_join_element_wise(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    ends = np.frombuffer(low.buffers()[1], np.int64, len(low) + 1, 8 * low.offset)
+    raw = memoryview(low.buffers()[2] or b"")[int(ends[0]) : int(ends[-1])]
+    codes = np.frombuffer(str(raw, "utf-8", "replace").encode("utf-32-le", "replace"), np.uint32).copy()
+    codes[(codes >= 48) & (codes <= 57)] = 48
+    return codes, pc.utf8_length(low).to_numpy(zero_copy_only=False)
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Small letters' code points of all texts, digits as 0, a line end after each; and the text of each place."""
-    low = [t.lower() for t in texts]
-    codes = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "replace"), np.uint32).copy()
-    owners = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
-    codes[(codes >= 48) & (codes <= 57)] = 48
-    return codes, owners
-
-
-def _segments(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sentence or line number of each place, and which places aren't outer white space."""
-    space = np.isin(codes, _SPACE)
-    end, wide, close = np.isin(codes, _END), np.isin(codes, _WIDE_END), np.isin(codes, _CLOSE)
-    one, two = np.roll(end, 1), np.roll(end, 2)
-    after_close = np.roll(close, 1)
-    cut = np.isin(codes, _LINE) | space & (one | after_close & two)
-    cut |= np.roll(wide, 1) & ~close & ~wide | after_close & np.roll(wide, 2) & ~close
-    return np.cumsum(cut), ~space
-
-
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed four-grams around each place within its sentence, the sentence and the text of each."""
-    codes, owners = _codes(texts)
-    segments, _ = _segments(codes)
-    line = np.isin(codes, _LINE)
-    codes, owners, segments = codes[~line], owners[~line], segments[~line]
-    if not len(codes):
-        return np.empty(0, np.int64), segments, owners
-    around = []
-    for by in (2, 1, 0, -1):
-        c, s = np.roll(codes, by), np.roll(segments, by)
-        outside = s != segments
-        if by > 0:
-            outside[:by] = True
-        elif by < 0:
-            outside[by:] = True
-        around.append(np.where(outside, 10, c).astype(np.uint64))
-    h = around[0]
-    for a in around[1:]:
-        h = h * np.uint64(1_000_003) + a
-    h ^= h >> np.uint64(29)
+def _before(values: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros_like(values)
+    out[by:] = values[:-by] if by else values
+    return out
+
+
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed four-grams around each place within its sentence or line, the sentence's number and the text's."""
+    codes, lengths = _codes(texts)
+    if len(codes) < 4:
+        return (np.empty(0, np.int64),) * 3
+    owners = np.repeat(np.arange(len(lengths)), lengths)
+    kind = _classes()[codes]
+    one, two = _before(kind, 1), _before(kind, 2)
+    ended = (one & _END | one & _CLOSE & ((two & _END) << 2)) > 0
+    cut = (kind & _LINE) > 0
+    cut |= (kind & _SPACE > 0) & ended
+    cut |= (one & _WIDE > 0) & (kind & (_CLOSE | _WIDE) == 0) | (one & _CLOSE > 0) & (two & _WIDE > 0) & (kind & _CLOSE == 0)
+    segments = np.cumsum(cut, dtype=np.int32)
+    text = (kind & _LINE) == 0
+    codes, owners, segments = codes[text], owners[text], segments[text]
+    if len(codes) < 4:
+        return (np.empty(0, np.int64),) * 3
+    new = np.empty(len(codes), bool)
+    new[0], new[1:] = True, segments[1:] != segments[:-1]
+    ten = np.uint64(10)
+    wide = codes.astype(np.uint64)
+    back = np.empty_like(wide)
+    back[0], back[1:] = ten, wide[:-1]
+    back[new] = ten
+    back2 = np.empty_like(wide)
+    back2[0], back2[1:] = ten, back[:-1]
+    back2[new] = ten
+    ahead = np.empty_like(wide)
+    ahead[-1], ahead[:-1] = ten, wide[1:]
+    ahead[:-1][new[1:]] = ten
+    h = (back2 << np.uint64(42)) ^ (back << np.uint64(28)) ^ (wide << np.uint64(14)) ^ ahead
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return (h % np.uint64(BUCKETS)).astype(np.int64), segments, owners
+    return (h >> np.uint64(46)).astype(np.int32), segments, owners
 
 
 def _line_counts(text: str) -> np.ndarray:
-    return np.bincount(grams(residue_lines.lines(text))[0], minlength=BUCKETS).astype(np.float64)
+    return np.bincount(grams(pa.array(residue_lines.lines(text)))[0], minlength=BUCKETS).astype(np.float64)
 
 
 def count_grams(df: DataFrame, text: str = "text") -> DataFrame:
@@ -84,7 +102,7 @@ def count_grams(df: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            total += np.bincount(grams([t for t in batch.column(0).to_pylist() if t])[0], minlength=BUCKETS)
+            total += np.bincount(grams(batch.column(0))[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -125,17 +143,30 @@ def _window_means(values: np.ndarray, segments: np.ndarray) -> np.ndarray:
     return (sums[high] - sums[low]) / (high - low)
 
 
-def score(texts: list[str], ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sentences that are residue: their text's number, kind and length."""
+def score(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sentences that are residue: their text's number, kind and length.
+
+    The windows' means of the greatest ratio bound those of each kind, so only
+    sentences that pass with the bound are read for each kind.
+    """
     hashed, segments, owners = grams(texts)
+    nothing = (np.empty(0, np.int64),) * 3
     if not len(hashed):
-        return (np.empty(0, np.int64),) * 3
-    means = np.array([_window_means(r[hashed], segments) for r in ratios])
+        return nothing
     starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
     lengths = np.diff(np.r_[starts, len(segments)])
+    least = np.maximum(EVIDENCE, RATIO * lengths)
+    bound = ratios.max(axis=0)[hashed]
+    maybe = np.add.reduceat(np.maximum(bound, 0), starts) > least * 0.9
+    if not maybe.any():
+        return nothing
+    at = np.repeat(maybe, lengths)
+    hashed, segments, owners, lengths, least = hashed[at], segments[at], owners[at], lengths[maybe], least[maybe]
+    starts = np.cumsum(lengths) - lengths
+    means = np.array([_window_means(r[hashed], segments) for r in ratios])
     covered = np.add.reduceat((means.max(axis=0) > RATIO).astype(np.int64), starts)
     best = np.array([np.add.reduceat(m, starts) for m in means])
-    found = (covered >= COVERAGE * lengths) & (best.max(axis=0) > np.maximum(EVIDENCE, RATIO * lengths))
+    found = (covered >= COVERAGE * lengths) & (best.max(axis=0) > least)
     return owners[starts[found]], best.argmax(axis=0)[found], lengths[found]
 
 
@@ -156,12 +187,12 @@ def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text", ratios:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = batch.column(1)
             owners, kinds, lengths = score(texts, ratios)
             table = np.zeros((len(texts), len(KINDS)), np.int64)
             np.add.at(table, (owners, kinds), lengths)
             at = np.flatnonzero(table.sum(axis=1))
-            visible = np.array([sum(map(len, texts[i].splitlines())) for i in at], np.float64)
+            visible = np.array([sum(map(len, t.splitlines())) for t in texts.take(pa.array(at)).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), pa.array([KINDS[k] for k in table[at].argmax(axis=1)], pa.string()), pa.array(table[at].sum(axis=1).astype(np.int32)), pa.array(np.minimum(1.0, table[at].sum(axis=1) / np.maximum(visible, 1)))],
                 names=[key, "residue_kind", "residue_chars", "residue_share"],
