@@ -75,16 +75,14 @@ def land(tokens: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fly(last: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        key = (group["mix_name"].iloc[0], group["source"].iloc[0], int(group["block"].iloc[0]))
-        seed = int(pd.util.hash_array(np.array(["\x1f".join(map(str, key))], dtype=object))[0]) ^ SEED
-        tokens, chances = group["n_tokens"].to_numpy(float), flight(group["n_tokens"].to_numpy(), group["chance"].to_numpy(), seed)
-        group["chance"] = land(tokens, chances) if last else chances
-        return group[["mix_name", "source", "doc_id", "n_tokens", "base", "chance"]]
-
-    return run
+def _fly(group: pd.DataFrame) -> pd.DataFrame:
+    """One block's flight; where it is all that is left of its source, the landing too."""
+    group = group.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    key = "\x1f".join(map(str, (group["mix_name"].iloc[0], group["source"].iloc[0], group["block"].iloc[0], group["blocks"].iloc[0])))
+    seed = int(pd.util.hash_array(np.array([key], dtype=object))[0]) ^ SEED
+    chances = flight(group["n_tokens"].to_numpy(), group["chance"].to_numpy(), seed)
+    group["chance"] = land(group["n_tokens"].to_numpy(float), chances) if group["blocks"].iloc[0] <= 1 else chances
+    return group[["mix_name", "source", "doc_id", "n_tokens", "base", "chance", "blocks"]]
 
 
 def sizes(tokens: DataFrame, targets: DataFrame) -> DataFrame:
@@ -122,24 +120,22 @@ def mix(tokens: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
     plan = sizes(usable, targets).filter("uses > 0")
     rows = usable.join(plan.select("mix_name", "source", "uses", "have_docs"), "source").withColumn("base", F.floor(F.col("uses") + _EPS).cast("int")).withColumn("chance", F.greatest(F.lit(0.0), F.col("uses") - F.col("base")))
     rows = rows.withColumn("chance", F.when(F.col("chance") < _EPS, 0.0).otherwise(F.col("chance")))
-    kept = ["mix_name", "source", "doc_id", "n_tokens", "base", "chance"]
-    schema = "mix_name string, source string, doc_id bigint, n_tokens int, base int, chance double"
+    kept = ["mix_name", "source", "doc_id", "n_tokens", "base", "chance", "blocks"]
+    schema = "mix_name string, source string, doc_id bigint, n_tokens int, base int, chance double, blocks bigint"
+    rows = rows.withColumn("blocks", F.ceil(F.col("have_docs") / block)).select(kept)
     most = usable.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    done = [rows.filter("chance = 0").select(kept)]
-    rows = rows.filter("chance > 0").withColumn("blocks", F.ceil(F.col("have_docs") / block))
-    blocks = -(-most // block)
+    blocks, done = -(-most // block), [rows.filter("chance = 0")]
+    rows = rows.filter("chance > 0")
     while True:
-        last = blocks <= 1
-        number = F.lit(0) if last else F.pmod(F.xxhash64("doc_id", F.lit(blocks)), F.greatest("blocks", F.lit(1)))
-        flown = rows.select(*kept, number.cast("int").alias("block")).groupBy("mix_name", "source", "block").applyInPandas(_fly(last), schema)
-        if last:
+        number = F.pmod(F.xxhash64("doc_id", "blocks"), F.greatest("blocks", F.lit(1))).cast("int")
+        flown = rows.withColumn("block", number).groupBy("mix_name", "source", "block").applyInPandas(_fly, schema)
+        if blocks <= 1:
             done.append(flown)
             break
         flown = cut(flown)
         done.append(flown.filter("chance = 0 or chance = 1"))
-        rows = flown.filter("chance > 0 and chance < 1")
-        blocks = -(-2 * blocks // block) if blocks > block // 2 else 1
-        rows = rows.withColumn("blocks", F.lit(blocks))
+        rows = flown.filter("chance > 0 and chance < 1").withColumn("blocks", F.ceil(2 * F.col("blocks") / block))
+        blocks = -(-2 * blocks // block)
     everything = done[0]
     for part in done[1:]:
         everything = everything.unionByName(part)

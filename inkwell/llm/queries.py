@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import bpe, lookalike, mixing, residue, sentences, splitting
+from inkwell.llm import bpe, lookalike, mixing, names, residue, sentences, splitting
 from inkwell.session import cut, table
 
 
@@ -53,6 +53,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def linked_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link_authors(table(spark, sf_dir, "source_books"))
+
+
+def linked_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link_characters(table(spark, sf_dir, "character_profiles"))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each named record with the canonical form it is attached to."""
+    authors = linked_authors(spark, sf_dir).select(F.lit("author").alias("kind"), "id", "spelling", "entity")
+    characters = linked_characters(spark, sf_dir).select(F.lit("character").alias("kind"), "id", "spelling", F.concat_ws("|", "source_id", "entity").alias("entity"))
+    return authors.unionByName(characters)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    authors = names.spelling_pairs(linked_authors(spark, sf_dir)).select(F.lit("author").alias("kind"), "id_a", "id_b")
+    characters = names.spelling_pairs(linked_characters(spark, sf_dir), ("source_id",)).select(F.lit("character").alias("kind"), "id_a", "id_b")
+    return authors.unionByName(characters)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(documents(spark, sf_dir), "doc_id", "text")
 
@@ -94,5 +115,5 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.clean_corpus(documents(spark, sf_dir)).select("doc_id", "source", "lang", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_sentences, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_residue, p9_clean)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_sentences, p5_found, p5_entities, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_residue, p9_clean)}
 ORACLES: dict[str, str] = {}
