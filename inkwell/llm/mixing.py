@@ -95,9 +95,9 @@ def sizes(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     have = tokens.filter("n_tokens > 0 and source is not null").groupBy("source").agg(F.count("*").alias("have_docs"), F.sum("n_tokens").alias("have_tokens"))
     named = targets.filter("mix_name is not null and source is not null and target_share > 0 and max_repeats > 0").groupBy("mix_name", "source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     joined = named.join(have, "source", "left").fillna(0, ["have_docs", "have_tokens"])
-    limit = F.when(F.col("have_tokens") > 0, F.col("max_repeats") * F.col("have_tokens") / F.col("target_share"))
+    limit = F.when(F.col("have_tokens") > 0, F.try_divide(F.col("max_repeats") * F.col("have_tokens"), F.col("target_share")))
     sized = joined.withColumn("mix_size", F.min(limit).over(Window.partitionBy("mix_name")))
-    return sized.withColumn("uses", F.when(F.col("have_tokens") > 0, F.least(F.col("target_share") * F.col("mix_size") / F.col("have_tokens"), F.col("max_repeats").cast("double"))))
+    return sized.withColumn("uses", F.when(F.col("have_tokens") > 0, F.least(F.try_divide(F.col("target_share") * F.col("mix_size"), F.col("have_tokens")), F.col("max_repeats").cast("double"))))
 
 
 def mix(tokens: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -147,4 +147,4 @@ def report(mixed: DataFrame, tokens: DataFrame, targets: DataFrame) -> DataFrame
     plan = sizes(tokens, targets).select("mix_name", "source", "target_share", "max_repeats", "have_docs", "have_tokens")
     used = mixed.groupBy("mix_name", "source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens").cast("bigint") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     out = plan.join(used, ["mix_name", "source"], "left").fillna(0, ["docs", "tokens", "most_repeats"])
-    return out.withColumn("actual_share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy("mix_name")))
+    return out.withColumn("actual_share", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy("mix_name"))), F.lit(0.0)))

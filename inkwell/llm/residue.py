@@ -23,8 +23,8 @@ EVIDENCE = 10.0
 KINDS = ("template", "filler", "notice")
 
 # What a code point is: bits for white space, line ends, sentence ends, the ends that need
-# no space after them, and closing marks.
-_SPACE, _LINE, _END, _WIDE, _CLOSE = 1, 2, 4, 8, 16
+# no space after them, closing marks, and the brackets that set a note or a blank apart.
+_SPACE, _LINE, _END, _WIDE, _CLOSE, _OPEN, _SHUT = 1, 2, 4, 8, 16, 32, 64
 
 
 @functools.lru_cache(maxsize=1)
@@ -36,6 +36,8 @@ def _classes() -> np.ndarray:
         (_END, ".!?…。！？।॥"),
         (_WIDE, "。！？।॥"),
         (_CLOSE, "\"'”’»」』)）]】"),
+        (_OPEN, "[【<"),
+        (_SHUT, "]】>"),
     ):
         table[[ord(c) for c in signs]] |= bit
     return table
@@ -67,7 +69,8 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     one, two = _before(kind, 1), _before(kind, 2)
     ended = (one & _END | one & _CLOSE & ((two & _END) << 2)) > 0
     cut = (kind & _LINE) > 0
-    cut |= (kind & _SPACE > 0) & ended
+    cut |= (kind & _SPACE > 0) & (ended | (one & _SHUT > 0))
+    cut |= (kind & _OPEN > 0) & (one & _SPACE > 0)
     cut |= (one & _WIDE > 0) & (kind & (_CLOSE | _WIDE) == 0) | (one & _CLOSE > 0) & (two & _WIDE > 0) & (kind & _CLOSE == 0)
     segments = np.cumsum(cut, dtype=np.int32)
     text = (kind & _LINE) == 0
