@@ -67,8 +67,13 @@ Yours, [Company]
 此处填写作者。
 此处填写书名。
 此处填写章节标题。
+【请输入简介】
+【请输入正文】
+此处填写正文。
 [ここにタイトルを入力]
 ここに著者名を入力してください。
+ここに題名を入力してください。
+ここに本文を入力してください。
 """
 
 FILLER = """
