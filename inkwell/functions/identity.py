@@ -102,3 +102,36 @@ def edition_url(url: Column, source_id: Column, hosts: list[str]) -> Column:
     number = F.regexp_extract(source_id, "^[a-z]+:(\\d+)$", 1)
     path = F.try_parse_url(url, F.lit("PATH"))
     return F.when(host.isin(*hosts) & (number != "") & F.contains(path, number), F.concat(F.lit("https://"), F.element_at(F.array(*map(F.lit, hosts)), 1), path))
+
+
+def title_slug(title: Column, source_id: Column) -> Column:
+    """A title's slug with a suffix that tells editions apart: number, upload or the first twelve digits of a hash."""
+    from inkwell.functions.text import slug
+
+    name = F.coalesce(F.nullif(slug(title), F.lit("")), F.lit("untitled"))
+    tail = F.substring_index(source_id, ":", -1)
+    short = F.left(F.sha2(source_id, 256), F.lit(12))
+    return (
+        F.when(F.startswith(source_id, F.lit("gutenberg:")), F.concat(name, F.lit("-g"), tail))
+        .when(source_id.rlike("^owner(?:upload)?:[a-f0-9-]{32,36}$"), F.concat(name, F.lit("-upload-"), F.replace(tail, F.lit("-"), F.lit(""))))
+        .when(source_id.rlike("^wikisource:"), F.concat(name, F.lit("-ws-"), short))
+        .otherwise(F.concat(name, F.lit("-se-"), short))
+    )
+
+
+def download_name(path: Column) -> Column:
+    """File name of an edition path: its parts joined by underscores, their own underscores hyphens."""
+    return F.concat(F.array_join(F.transform(F.split(path, "/"), lambda p: F.translate(p, "_", "-")), "_"), F.lit(".epub"))
+
+
+def source_of_url(url: Column) -> Column:
+    """The edition id an address stands for, by its host and path; null for others."""
+    host, path = F.try_parse_url(url, F.lit("HOST")), F.try_parse_url(url, F.lit("PATH"))
+    number = F.regexp_extract(path, "^/(?:ebooks|cache/epub|files)/(\\d+)(?:[./]|$)", 1)
+    edition = F.regexp_extract(path, "^/ebooks/([a-z0-9-]+(?:/[a-z0-9_-]+)+?)(?:/downloads/.*)?$", 1)
+    return F.when(host.rlike("(^|\\.)gutenberg\\.org$") & (number != ""), F.concat(F.lit("gutenberg:"), number)).when((host == "standardebooks.org") & (edition != ""), F.concat(F.lit("standardebooks:"), edition))
+
+
+def error_text(code: Column, known: list[str], other: str) -> Column:
+    """Known codes as they are, others as one, null as null."""
+    return F.when(code.isNull(), None).when(code.isin(*known), code).otherwise(other)

@@ -6,5 +6,5 @@ import importlib
 import pkgutil
 
 
-def registries() -> list:
+def query_modules() -> list:
     return [importlib.import_module(f"{__name__}.{m.name}") for m in pkgutil.iter_modules(__path__)]

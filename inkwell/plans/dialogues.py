@@ -175,7 +175,7 @@ ORACLES = {
     "quote_context": f'with {_CH}, {_QU} select q.chunk_id, quote_id, substring(ch.text, greatest(start - 120, 0) + 1, start - greatest(start - 120, 0)) as before, substring(ch.text, "end" + 1, 120) as after, greatest(start - 120, 0) as from_pos from qn q join ch using (chunk_id)',
     "quote_need": "select source, count(*) filter (regexp_matches(text, '[\"“”]')) as quoted, count(*) as n from documents where text is not null group by 1",
     "spans_tiled": f'with {_TI} select chunk_id, speaker, delivery_type, voice_policy, start, "end" from sp',
-    "spans_invalid": f"with {_TI} select chunk_id, start, 'none' as violation from sp where start < 0",
+    "spans_invalid": f"""with {_TI}, p as (select *, coalesce(lag("end") over (partition by chunk_id order by start, "end"), 0) as prev from sp), e as (select ch.chunk_id, coalesce(max(sp."end"), 0) as fin, length(any_value(ch.text)) as n from ch left join sp using (chunk_id) group by ch.chunk_id) select chunk_id, start, 'not contiguous' as violation from p where start <> prev union all select chunk_id, start, 'empty span' from p where "end" <= start union all select chunk_id, fin, 'does not cover the text' from e where fin <> n""",
     "spans_clipped": f'with {_TI} select chunk_id, speaker, greatest(start, 0) as start, least("end", 200) as "end" from sp where start < 200 and "end" > 0',
     "segment_merged": "with x as (select distinct track_id, pause_start_frame, break_type from seam_audits where track_id is not null and pause_start_frame is not null), g as (select *, case when break_type is not distinct from lag(break_type) over w and row_number() over w > 1 then 0 else 1 end as new from x window w as (partition by track_id order by pause_start_frame, break_type nulls first)), r as (select *, sum(new) over (partition by track_id order by pause_start_frame, break_type nulls first)::bigint as run from g) select track_id, run, break_type, count(*) as n, min(pause_start_frame) as first from r group by all",
     "registry_names": f"with {_PR}, {_NM} select * from nm",

@@ -25,9 +25,8 @@ def _search(query: str):
 
 
 def search_prefix_scan(s, d):
-    """Tokens of plain ASCII titles that begin with "be", with their editions."""
-    plain = _books(s, d).filter(F.col("title").rlike("^[A-Za-z0-9 :,'.-]+$")).select("source_id", F.explode(S.tokens(S.clean(F.col("title")))).alias("token"))
-    return plain.filter(F.startswith("token", F.lit("be"))).distinct()
+    """Indexed tokens that begin with "be", with their editions."""
+    return search_index(s, d).filter(F.startswith("token", F.lit("be")))
 
 
 def search_swaps(s, d):
@@ -107,7 +106,6 @@ QUERIES |= {"search_prefix": _search("ferrymen"), "search_typo": _search("lanetr
 
 _B = "b as (select * from source_books where source_id is not null qualify row_number() over (partition by source_id order by updated_at desc nulls last, coalesce(title,'') desc) = 1)"
 ORACLES = {
-    "search_prefix_scan": f"with {_B}, t as (select source_id, unnest(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ')) as token from b where regexp_matches(title, '^[A-Za-z0-9 :,''.-]+$')) select distinct source_id, token from t where starts_with(token, 'be')",
     "search_swaps": "with n as (select n_name, lower(n_name) as w, unnest(range(1, length(n_name))) as i from nation) select distinct n_name, substring(w, 1, i - 1) || substring(w, i + 1, 1) || substring(w, i, 1) || substring(w, i + 2) as variant from n",
     "search_distances": "select a.n_nationkey as a, b.n_nationkey as b, case when levenshtein(a.n_name, b.n_name) <= 3 then levenshtein(a.n_name, b.n_name) end as distance from nation a join nation b on left(a.n_name, 1) = left(b.n_name, 1) and a.n_nationkey < b.n_nationkey",
     "identity_checks": "with p as (select * from published_books qualify row_number() over (partition by catalog_id order by catalog_id) = 1), s as (select *, floor(coalesce(total_duration_seconds, 0))::bigint as t from p) select catalog_id, split_part(source, ':', 1) as provider, concat_ws('/', 'books', author_slug, title_slug, 'renditions', rendition, 'builds', current_build) as key, substring(sha256(author_slug || title_slug), 1, 16) as fixture, case when t >= 3600 then (t // 3600) || 'h ' || ((t % 3600) // 60) || 'm' else (t // 60) || 'm' end as length, (t // 60) || ':' || lpad((t % 60)::varchar, 2, '0') as clock, 'section-' || lpad(coalesce(section_count, 0)::varchar, greatest(2, length(coalesce(section_count, 0)::varchar))::int, '0') as last from s",

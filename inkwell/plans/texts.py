@@ -115,7 +115,7 @@ def chunk_line_packs(s, d):
     empty = F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("n"))
     step = lambda a, c: F.when((a["n"] == 0) | (a["n"] + c <= 200), F.struct(a["done"].alias("done"), (a["n"] + c).alias("n"))).otherwise(F.struct(F.array_append(a["done"], a["n"]).alias("done"), c.alias("n")))
     packed = F.aggregate(counts, empty, step, lambda a: F.when(a["n"] > 0, F.array_append(a["done"], a["n"])).otherwise(a["done"]))
-    return table(s, d, "documents").filter("text is not null and source = 'gutenberg'").select("doc_id", F.array_join(packed.cast("array<string>"), ",").alias("sizes"))
+    return table(s, d, "documents").filter("text is not null").select("doc_id", F.array_join(packed.cast("array<string>"), ",").alias("sizes"))
 
 
 def heading_ordinals(s, d):
@@ -155,5 +155,5 @@ ORACLES = {
     "text_section_filter": f"with {_SECT} select section_id, sequence from sec where sequence in (2, 4, 5)",
     "text_credits": f"with {_SECT}, b as (select * from source_books where book_id is not null qualify row_number() over (partition by book_id order by updated_at desc nulls last, coalesce(title,'') desc) = 1), l as (select source_id, max(sequence) as last from sec where source_id is not null group by 1), j as (select b.*, last, {_LANG} as lg from b join l using (source_id) where title is not null and author is not null) select book_id, 1 as sequence, case when lg = 'zh' then format('《{{}}》。作者：{{}}。', title, author) else format('{{}}. Written by {{}}.', title, author) end as spoken from j union all select book_id, last + 2, case when lg = 'zh' then format('《{{}}》朗读完毕。作者：{{}}。', title, author) else format('The end of {{}}, written by {{}}.', title, author) end from j",
     "text_cleaned": f"with {_SECT} select section_id, {_TITLE} as clean, case when trim(heading.display_title) = '' then '' when regexp_matches(trim(heading.display_title), '[.?!。！？]$') then trim(heading.display_title) else trim(heading.display_title) || '.' end as spoken from sec where heading is not null",
-    "chunk_line_packs": f"with c as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_WC('x')}), lambda n: n > 0) as l from documents where text is not null and source = 'gutenberg'), f as (select doc_id, list_reduce(list_transform(l, lambda n: struct_pack(done := []::int[], n := n::int)), lambda a, b: case when a.n = 0 or a.n + b.n <= 200 then struct_pack(done := a.done, n := a.n + b.n) else struct_pack(done := list_append(a.done, a.n), n := b.n) end, struct_pack(done := []::int[], n := 0)) as a from c) select doc_id, array_to_string(case when a.n > 0 then list_append(a.done, a.n) else a.done end, ',') as sizes from f",
+    "chunk_line_packs": f"with c as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_WC('x')}), lambda n: n > 0) as l from documents where text is not null), f as (select doc_id, list_reduce(list_transform(l, lambda n: struct_pack(done := []::int[], n := n::int)), lambda a, b: case when a.n = 0 or a.n + b.n <= 200 then struct_pack(done := a.done, n := a.n + b.n) else struct_pack(done := list_append(a.done, a.n), n := b.n) end, struct_pack(done := []::int[], n := 0)) as a from c) select doc_id, array_to_string(case when a.n > 0 then list_append(a.done, a.n) else a.done end, ',') as sizes from f",
 }
