@@ -21,6 +21,8 @@ WINDOW, RATIO, COVERAGE = 12, 1.0, 0.7
 #: What the ratios of a whole sentence must sum to, so that no scrap is taken for residue.
 EVIDENCE = 10.0
 KINDS = ("template", "filler", "notice")
+#: Bytes of text read at once; a single longer text is read whole.
+AT_ONCE = 4_000_000
 
 # What a code point is: bits for white space, line ends, sentence ends, the ends that need
 # no space after them, closing marks, and the brackets that set a note or a blank apart.
@@ -95,6 +97,16 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h >> np.uint64(46)).astype(np.int32), segments, owners
 
 
+def _in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``AT_ONCE`` bytes of text, so that memory doesn't follow the batch."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _line_counts(text: str) -> np.ndarray:
     return np.bincount(grams(pa.array(residue_lines.lines(text)))[0], minlength=BUCKETS).astype(np.float64)
 
@@ -104,8 +116,8 @@ def count_grams(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            total += np.bincount(grams(batch.column(0))[0], minlength=BUCKETS)
+        for part in (p for batch in batches for p in _in_parts(batch, 0)):
+            total += np.bincount(grams(part.column(0))[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -189,7 +201,7 @@ def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text", ratios:
     schema = f"{key} {dict(df.dtypes)[key]}, residue_kind string, residue_chars int, residue_share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in _in_parts(whole, 1)):
             texts = batch.column(1)
             owners, kinds, lengths = score(texts, ratios)
             table = np.zeros((len(texts), len(KINDS)), np.int64)
