@@ -17,7 +17,7 @@ from inkwell.llm import residue_lines
 BUCKETS = 1 << 18
 #: Characters of a likelihood-ratio window, the mean ratio it must reach, and the
 #: part of a sentence that such windows must cover.
-WINDOW, RATIO, COVERAGE = 12, 1.0, 0.7
+WINDOW, RATIO, COVERAGE = 12, 1.0, 0.5
 #: What the ratios of a whole sentence must sum to, so that no scrap is taken for residue.
 EVIDENCE = 10.0
 KINDS = ("template", "filler", "notice")
