@@ -157,6 +157,14 @@ def folded(text: str) -> str:
     return " ".join("".join(c for c in look if not unicodedata.combining(c) or ord(c) > 0x36F).casefold().split())
 
 
+@functools.lru_cache(maxsize=65536)
+def _org_word(word: str) -> str:
+    """An organisation's word written with one typo, set right; other words as they are."""
+    if len(word) < 7 or word in _ORG:
+        return word
+    return next((full for full in ORG if len(full) >= 7 and _close(word, full)), word)
+
+
 class Reading(dict):
     """kind (person, han, org, epithet, nobody), given, middle, surname, sex, flip."""
 
@@ -180,8 +188,9 @@ def read_name(raw: str | None) -> Reading:
     comma = "," in text
     tokens = [t for t in re.split(r"[\s,]+", text) if t]
     plain = [t.strip(".'’\"“”‘") for t in tokens]
+    plain = [_org_word(p) for p in plain]
     kinds = {_ORG[p] for p, t in zip(plain, tokens) if p in _ORG and not (p == "miss" and len(tokens) < 3) and not (p in ("co", "pr", "ho", "bd", "off", "mus", "ass", "comp") and "." not in t and t != plain[-1])}
-    if kinds - {"missionary", "brothers", "group", "house", "board", "office"} or "brothers" in kinds and plain[-1] in ("brothers", "bros", "bro"):
+    if kinds - {"missionary", "brothers", "group", "house", "board", "office"} or "brothers" in kinds and {plain[-1], plain[0] if comma else ""} & {"brothers", "bros", "bro"}:
         rest = [p for p in plain if p not in _ORG_DROPPED and p not in _ORG and p]
         return Reading(kind="org", given="", middle=" ".join(sorted(kinds)), surname=" ".join(rest), sex="", flip=False)
     if plain[0] == "the":
@@ -271,8 +280,8 @@ def _read_rows(df: DataFrame, raw: str) -> DataFrame:
             for text in frame["raw"]:
                 r = read_name(text)
                 rows.append((text, 0, r["kind"], r["given"], r["middle"], r["surname"], r["sex"]))
-                if r["flip"]:
-                    rest = [*r["middle"].split(), r["surname"]]
+                rest = [*r["middle"].split(), r["surname"]]
+                if r["flip"] and len(rest[0]) > 1:
                     rows.append((text, 1, r["kind"], rest[0], " ".join(rest[1:]), r["given"], r["sex"]))
             yield pd.DataFrame(rows, columns=["raw", "reading", "kind", "given", "middle", "surname", "sex"])
 

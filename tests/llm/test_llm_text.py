@@ -178,10 +178,12 @@ def test_author_links(spark):
     groups = [
         ["Isolde Bridmondwun", "Bridmondwun, Isilde", "Dr. Isolde Brdmondwun", "Isolde A. Brdimondwun", "I. Bridmondwun", "BRIDMONDWUN, Isolde, 1801-1870"],
         ["Theodore Gringwirjim", "Gringwirjim Ted", "by T. Gringwirjim"],
-        ["Pilmravshick Missionary Society", "Pilmravshick Miss. Soc.", "Missionary Society of Pilmravshick", "The Pilmravsshick Missionary Society"],
+        ["Pilmravshick Missionary Society", "Pilmravshick Miss. Soc.", "Missionary Society of Pilmravshick", "The Pilmravsshick Missionary Society", "Pilmravshick Missionary Soicety"],
         ["林锦溪云", "林錦溪雲先生", "〔清〕林 錦溪雲"],
         ["Silas Bridmondwun"],
         ["Drorrugforn Missionary Society"],
+        ["Medpungove Brothers", "Brothers, Medpungove", "MEDPUNGOVE BROS."],
+        ["Augustus Vane Cliskbarpas", "Aguustus V. Cliskbarpas", "Cliskbarpas Augustus Vane"],
     ]
     rows = [(100 * g + i, spelling) for g, group in enumerate(groups) for i, spelling in enumerate(group)]
     rows += [(900, "Isolde Bridmondwun"), (901, None), (902, "Anonymous"), (903, "佚名"), (904, "Unknown"), (905, " "), (0, "Isolde Bridmondwun"), (907, "Ted Marsh"), (908, "Theodore Zab"), (909, "Theodore Quell")]
