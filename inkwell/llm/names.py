@@ -319,6 +319,9 @@ def attach(keys: DataFrame) -> DataFrame:
     """``key`` to ``parent``: the canonical form with the greatest posterior; canonical forms have none.
 
     ``keys`` has one row per key: key, kind, given, middle, surname, weight.
+    A form's prior grows with its use, with that of its parts, and with the
+    number of forms that could be variants of it: of rare forms the one in the
+    middle is the canonical one.
     """
     people = keys.filter("kind = 'person'")
     given_fame = people.groupBy("given").agg(F.countDistinct("surname").alias("given_fame"))
@@ -326,22 +329,29 @@ def attach(keys: DataFrame) -> DataFrame:
     rich = keys.join(given_fame, "given", "left").join(surname_fame, "surname", "left").fillna(1, ["given_fame", "surname_fame", "surname_weight"])
     full = F.when((F.col("kind") != "person") | (F.length("given") > 1), 1).otherwise(0)
     prior = F.log("weight") + 0.5 * F.log1p("given_fame") + 0.5 * F.log1p("surname_weight")
-    ranked = _with_blocks(rich).withColumn("prior", F.round(prior, 6)).withColumn("order", F.struct(full.alias("full"), F.col("prior"), F.col("key")))
-    blocked = ranked.select("key", F.explode("blocks").alias("block"))
-    pairs = blocked.alias("v").join(blocked.select("block", F.col("key").alias("parent")).alias("c"), "block").filter("key <> parent").select("key", "parent").distinct()
-    kept = ["kind", "given", "middle", "surname", "roots", "given_fame", "surname_fame", "prior", "order"]
-    side = lambda p, name: ranked.select(F.col("key").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in kept))
-    both = pairs.join(side("v", "key"), "key").join(side("c", "parent"), "parent").filter("c_order > v_order and v_kind = c_kind")
-    v, c = (lambda k: F.col(f"v_{k}")), (lambda k: F.col(f"c_{k}"))
-    known_given = (v("given_fame") >= 3) & (v("given_fame") >= 0.05 * c("given_fame"))
-    known_surname = (v("surname_fame") >= 3) & (v("surname_fame") >= 0.2 * c("surname_fame"))
-    surname = F.when(v("surname") == c("surname"), 0.0).when(_near(v("surname"), c("surname")) & ~known_surname, TYPO)
-    given = F.when(v("kind") == "org", 0.0).otherwise(_given_score(v("given"), c("given"), v("roots"), c("roots")))
-    given = F.when((given == TYPO) & known_given, None).otherwise(given)
-    middle = F.when(v("kind") == "org", F.when(v("middle") == c("middle"), 0.0)).otherwise(_middle_score(v("middle"), c("middle")))
-    scored = both.withColumn("likelihood", surname + given + middle).filter(F.col("likelihood").isNotNull() & (F.col("likelihood") > 2.5 * TYPO))
-    best = Window.partitionBy("key").orderBy(F.desc(F.col("likelihood") + c("prior")), F.desc("c_order"))
-    return scored.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("key", "parent")
+    forms = _with_blocks(rich).withColumns({"full": full, "prior": prior})
+    blocked = forms.select("key", F.explode("blocks").alias("block"))
+    pairs = blocked.join(blocked.select("block", F.col("key").alias("other")), "block").filter("key < other").select("key", "other").distinct()
+    kept = ["kind", "given", "middle", "surname", "roots"]
+    side = lambda p, name: forms.select(F.col("key").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in kept))
+    both = pairs.join(side("a", "key"), "key").join(side("b", "other"), "other").filter("a_kind = b_kind")
+    a, b = (lambda k: F.col(f"a_{k}")), (lambda k: F.col(f"b_{k}"))
+    org = a("kind") == "org"
+    surname = F.when(a("surname") == b("surname"), 0.0).when(_near(a("surname"), b("surname")), TYPO)
+    given = F.when(org, 0.0).otherwise(_given_score(a("given"), b("given"), a("roots"), b("roots")))
+    middle = F.when(org, F.when(a("middle") == b("middle"), 0.0)).otherwise(_middle_score(a("middle"), b("middle")))
+    scored = both.select("key", "other", surname.alias("surname_s"), given.alias("given_s"), (surname + given + middle).alias("likelihood"))
+    edges = cut(scored.filter(F.col("likelihood").isNotNull() & (F.col("likelihood") > 2.5 * TYPO)))
+    ways = edges.unionByName(edges.select(F.col("other").alias("key"), F.col("key").alias("other"), "surname_s", "given_s", "likelihood"))
+    degrees = ways.groupBy("key").agg(F.count("*").alias("degree"))
+    ranked = forms.join(degrees, "key").withColumn("prior", F.round(F.col("prior") + F.log1p("degree"), 6)).select("key", "given_fame", "surname_fame", "prior", F.struct("full", F.col("prior").alias("prior"), "key").alias("order"))
+    end = lambda p, name: ranked.select(F.col("key").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in ("given_fame", "surname_fame", "prior", "order")))
+    up = ways.withColumnRenamed("other", "parent").join(end("v", "key"), "key").join(end("c", "parent"), "parent").filter("c_order > v_order")
+    known_given = (F.col("v_given_fame") >= 3) & (F.col("v_given_fame") >= 0.05 * F.col("c_given_fame"))
+    known_surname = (F.col("v_surname_fame") >= 3) & (F.col("v_surname_fame") >= 0.2 * F.col("c_surname_fame"))
+    likely = up.filter(~((F.col("given_s") == TYPO) & known_given) & ~((F.col("surname_s") == TYPO) & known_surname))
+    best = Window.partitionBy("key").orderBy(F.desc(F.col("likelihood") + F.col("c_prior")), F.desc("c_order"))
+    return likely.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("key", "parent")
 
 
 def to_roots(parents: DataFrame, child: str = "key", parent: str = "parent") -> DataFrame:
@@ -486,12 +496,12 @@ def link_characters(df: DataFrame) -> DataFrame:
     forms = cut(_character_forms(grouped).withColumn("low", F.lower(F.trim("canonical"))).join(fame, ["source_id", "low"]).drop("low", "canonical", "aliases"))
     spelled = (F.size("givens") > 0).cast("int") + (F.size("surnames") > 0).cast("int")
     clean = F.when(F.col("title_sex") == "", 0.5).otherwise(0.0)
-    ranked = forms.withColumn("prior", F.log("fame") + clean).withColumn("order", F.struct(F.least(spelled, F.lit(2)).alias("told"), F.col("prior"), F.col("weight"), F.col("form")))
-    blocked = ranked.select("source_id", "form", F.explode("blocks").alias("block"))
-    pairs = blocked.join(blocked.select("source_id", "block", F.col("form").alias("parent")), ["source_id", "block"]).filter("form <> parent").select("form", "parent").distinct()
-    kept = ["han", "surnames", "givens", "given_roots", "title_sex", "told_sex", "epithets", "prior", "order"]
-    side = lambda p, name: ranked.select(F.col("form").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in kept))
-    both = pairs.join(side("v", "form"), "form").join(side("c", "parent"), "parent").filter("c_order > v_order")
+    forms = forms.withColumn("told", F.least(spelled, F.lit(2))).withColumn("prior", F.log("fame") + clean)
+    blocked = forms.select("source_id", "form", F.explode("blocks").alias("block"))
+    pairs = blocked.join(blocked.select("source_id", "block", F.col("form").alias("other")), ["source_id", "block"]).filter("form < other").select("form", "other").distinct()
+    kept = ["han", "surnames", "givens", "given_roots", "title_sex", "told_sex", "epithets"]
+    side = lambda p, name: forms.select(F.col("form").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in kept))
+    both = pairs.join(side("v", "form"), "form").join(side("c", "other"), "other")
     v, c = (lambda k: F.col(f"v_{k}")), (lambda k: F.col(f"c_{k}"))
     none = lambda col: F.size(col) == 0
     surname = F.when(none(v("surnames")) | none(c("surnames")), -2.0).otherwise(_best_match(v("surnames"), c("surnames"), TYPO / 2))
@@ -499,13 +509,19 @@ def link_characters(df: DataFrame) -> DataFrame:
     shared = F.when(F.arrays_overlap(v("epithets"), c("epithets")), 2.5).when(~none(v("epithets")) & ~none(c("epithets")), -1.0).otherwise(0.0)
     v_sex, c_sex = (F.when(col("title_sex") != "", col("title_sex")).otherwise(col("told_sex")) for col in (v, c))
     sexes = F.when((v_sex == "") | (c_sex == ""), 0.0).when(v_sex == c_sex, 0.5).otherwise(-3.0)
-    latin = F.when(none(v("surnames")) & none(v("givens")) & (shared <= 0), None).otherwise(surname + given + shared + sexes)
+    nameless = lambda x: none(x("surnames")) & none(x("givens"))
+    latin = F.when((nameless(v) | nameless(c)) & (shared <= 0), None).otherwise(surname + given + shared + sexes)
     likelihood = F.when((v("han") != "") | (c("han") != ""), F.when(v("han") == c("han"), 0.0)).otherwise(latin)
-    scored = both.withColumn("score", likelihood + c("prior")).filter(F.col("score").isNotNull() & (likelihood > -6.5)).select("form", "parent", "score", "c_order")
+    scored = both.select("form", "other", likelihood.alias("likelihood")).filter(F.col("likelihood").isNotNull() & (F.col("likelihood") > -6.5))
     builds = plain.select("form", "source_id", "build").distinct()
-    clash = scored.select("form", "parent").join(builds, "form").join(builds.select(F.col("form").alias("parent"), "source_id", "build"), ["parent", "source_id", "build"]).select("form", "parent").distinct()
-    best = Window.partitionBy("form").orderBy(F.desc("score"), F.desc("c_order"))
-    parents = scored.join(clash, ["form", "parent"], "left_anti").withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("form", "parent")
+    clash = scored.select("form", "other").join(builds, "form").join(builds.select(F.col("form").alias("other"), "source_id", "build"), ["other", "source_id", "build"]).select("form", "other").distinct()
+    edges = cut(scored.join(clash, ["form", "other"], "left_anti").select("form", "other", "likelihood"))
+    ways = edges.unionByName(edges.select(F.col("other").alias("form"), F.col("form").alias("other"), "likelihood"))
+    degrees = ways.groupBy("form").agg(F.count("*").alias("degree"))
+    ranked = forms.join(degrees, "form").withColumn("prior", F.round(F.col("prior") + F.log1p("degree"), 6)).select("form", "prior", F.struct("told", F.col("prior").alias("prior"), "weight", "form").alias("order"))
+    up = ways.withColumnRenamed("other", "parent").join(ranked.select("form", F.col("order").alias("v_order")), "form").join(ranked.select(F.col("form").alias("parent"), F.col("prior").alias("c_prior"), F.col("order").alias("c_order")), "parent").filter("c_order > v_order")
+    best = Window.partitionBy("form").orderBy(F.desc(F.col("likelihood") + F.col("c_prior")), F.desc("c_order"))
+    parents = up.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("form", "parent")
     found = to_roots(parents, "form")
     linked = plain.join(found, "form", "left").select("id", "source_id", F.col("canonical").alias("spelling"), F.coalesce("parent", "form").cast("string").alias("entity"))
     return linked.unionByName(personas)
