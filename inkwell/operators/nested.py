@@ -53,12 +53,12 @@ def _as_list(raw: Column) -> Column:
 
 
 def _word(raw: Column) -> Column:
-    """A word entry: an object, a list beginning with the word, or the word itself."""
+    """A word entry: an object, a list beginning with the word, or the word itself; times that aren't numbers are null."""
     entry = lambda w, s=None, e=None: F.struct(w.alias("word"), (F.lit(None) if s is None else s).try_cast("double").alias("start"), (F.lit(None) if e is None else e).try_cast("double").alias("end"))
     at = lambda items, i: F.get(items, F.lit(i))
     return (
         F.when(raw.isNull(), F.lit(None).cast(_WORD))
-        .when((_head(raw) == "{") & is_whole_json(raw), _json(raw, _WORD))
+        .when((_head(raw) == "{") & is_whole_json(raw), _let(_json(raw, "word string, start string, end string"), lambda o: entry(o["word"], o["start"], o["end"])))
         .when((_head(raw) == "[") & is_whole_json(raw), _let(_json(raw, "array<string>"), lambda items: entry(at(items, 0), at(items, 1), at(items, 2))))
         .otherwise(entry(raw))
     )

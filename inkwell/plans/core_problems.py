@@ -58,8 +58,36 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat("words")(spark, sf_dir).select("data_id", "section_pos", "chunk_pos", "word_pos")
 
 
+def _value(x: str) -> str:
+    """SQL: a string holding a JSON list or object for its value."""
+    return f"(case when json_type({x}) = 'VARCHAR' and json_type(try_cast({x} ->> '$' as json)) in ('ARRAY', 'OBJECT') then try_cast({x} ->> '$' as json) else {x} end)"
+
+
+def _items(x: str) -> str:
+    """SQL: a list's entries; a lone object's own."""
+    return f"(case json_type({x}) when 'ARRAY' then {x} -> '$[*]' when 'OBJECT' then [{x}] else [] end)"
+
+
+_P6 = f"""
+with p as (select data_id, {_value("try_cast(payload as json)")} as j from section_data where data_id is not null qualify row_number() over (partition by data_id order by (try_cast(payload as json) is not null)::int desc, received_at desc nulls last) = 1),
+s0 as (select data_id, {_items(_value("(j -> '$.sections')"))} as l from p where json_type(j) = 'OBJECT'),
+s1 as (select data_id, unnest(range(len(l))) as section_pos, unnest(l) as v from s0),
+s as (select * from (select data_id, section_pos, {_value("v")} as v from s1) where json_type(v) = 'OBJECT'),
+c0 as (select data_id, section_pos, {_items(_value("(v -> '$.chunks')"))} as l from s),
+c as (select data_id, section_pos, unnest(range(len(l))) as chunk_pos, unnest(l) as v from c0),
+h as (select data_id, section_pos, -1 as chunk_pos, {_value("(v -> '$.heading')")} as v from s union all select data_id, section_pos, chunk_pos, {_value("v")} from c),
+w0 as (select data_id, section_pos, chunk_pos, {_items(_value("(v -> '$.words')"))} as l from h where json_type(v) = 'OBJECT'),
+w1 as (select data_id, section_pos, chunk_pos, unnest(range(len(l))) as word_pos, unnest(l) as v from w0),
+w as (select data_id, section_pos, chunk_pos, word_pos, {_value("v")} as v from w1),
+n as (select *, case json_type(v) when 'OBJECT' then v ->> '$.word' when 'ARRAY' then v ->> '$[0]' when 'NULL' then null else v ->> '$' end as word from w)
+"""
 QUERIES = {"p4_found": p4_found, "p4_coverage": p4_coverage, "p6_found": p6_found} | {f"p6_{n}": _flat(n) for n in nested.TABLES}
 ORACLES = {
+    "p6_found": _P6 + "select data_id, section_pos::int as section_pos, chunk_pos::int as chunk_pos, word_pos::int as word_pos from n where trim(word) <> ''",
+    "p6_words": _P6 + "select data_id, section_pos::int as section_pos, chunk_pos::int as chunk_pos, word_pos::int as word_pos, word, try_cast(case json_type(v) when 'OBJECT' then v ->> '$.start' when 'ARRAY' then v ->> '$[1]' end as double) as start_s, try_cast(case json_type(v) when 'OBJECT' then v ->> '$.end' when 'ARRAY' then v ->> '$[2]' end as double) as end_s from n where trim(word) <> ''",
+    "p6_sections": _P6 + "select data_id, section_pos::int as section_pos, try_cast(v ->> '$.sequence' as int) as sequence, v ->> '$.section_type' as section_type, try_cast(v ->> '$.ordinal' as int) as ordinal, try_cast(v ->> '$.word_count' as int) as word_count from s",
+    "p6_chunks": _P6 + "select data_id, section_pos::int as section_pos, chunk_pos::int as chunk_pos, v ->> '$.text' as text from h where chunk_pos >= 0 and json_type(v) = 'OBJECT'",
+    "p6_headings": _P6 + "select data_id, section_pos::int as section_pos, v ->> '$.display_label' as display_label, v ->> '$.display_title' as display_title, v ->> '$.spoken_text' as spoken_text from h where chunk_pos < 0 and json_type(v) = 'OBJECT'",
     "p4_found": _P4 + "select * from r",
     "p4_coverage": _P4 + "select track_id, layer, count(*) filter (piece = 'period') as periods, coalesce(sum(to_pos - from_pos) filter (piece = 'period'), 0)::bigint as covered, coalesce(sum(to_pos - from_pos) filter (piece = 'gap'), 0)::bigint as open from r group by all",
 }

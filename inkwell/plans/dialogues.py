@@ -170,7 +170,20 @@ sp as (select chunk_id, speaker, case when speaker = 'narrator' then 'written_te
 _NM = r"""nk as (select source_id, build, character_id, trim(regexp_replace(lower(n), '\s+', ' ', 'g')) as k from (select source_id, build, character_id, unnest(list_concat([canonical], coalesce(aliases, []))) as n from pr) where n is not null),
 pt as (select *, string_split(trim(regexp_replace(translate(k, ',', ' '), '\s+', ' ', 'g')), ' ') as p from nk),
 nm as (select distinct source_id, build, character_id, key, form from (select source_id, build, character_id, k as key, 'full' as form from pt union all select source_id, build, character_id, regexp_replace(k, '^(?:the|an|a) ', ''), 'full' from pt union all select source_id, build, character_id, p[len(p)], 'short' from pt where len(p) > 1) where key is not null and key <> '')"""
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}"
+_TOKENS = f"len(regexp_extract_all(t, '{_WORD}'']+'))"
+_SEG = f"""{_TI}, tx as (select sp.*, substring(ch.text, start + 1, "end" - start) as t from sp join ch using (chunk_id)),
+em as (select *, (['neutral', 'happy', 'sad', 'angry', 'anxious', 'surprised', 'amused'])[start % 7 + 1] as emotion, {_TOKENS} as words, len(regexp_extract_all(translate(t, chr(39), ' '), '{_WORD}]+')) as plain_words from tx),
+cq as (select *, left(trim(t), 1) in ('"', '“', '‘') and right(regexp_replace(trim(t), '[ \\t\\r\\n,.;:!?)\\]}}]+$', ''), 1) in ('"', '”', '’') as quoted from em),
+lv as (select *, case when emotion = 'neutral' then 0.7 else least(0.7, case when words < 12 or length(trim(t)) < 60 then case when quoted then 0.6 else 0.45 end when words < 24 then 0.65 else 0.8 end) end as level from cq),
+tg as (select *, case emotion when 'happy' then 0.72 when 'sad' then 0.38 when 'angry' then 0.85 when 'anxious' then 0.78 when 'surprised' then 0.82 when 'amused' then 0.68 else 0.5 end as ex, case emotion when 'happy' then 0.42 when 'sad' then 0.58 when 'angry' then 0.34 when 'anxious' then 0.36 when 'surprised' then 0.38 when 'amused' then 0.44 else 0.5 end as cw from lv),
+sg as (select chunk_id, start, emotion, (case when speaker <> 'narrator' then 1.05 when plain_words > 24 then 0.95 else 1.0 end)::double as speed, level::double as level, case when voice_policy = 'narrator_compatible' then 0 else 120 end as pause_ms, round_even(0.5 + (ex - 0.5) * level, 4)::double as exaggeration, round_even(0.5 + (cw - 0.5) * level, 4)::double as cfg_weight from tg)"""
+_FLUSH = "(a[len(a)].w + y[1].w > 1500 or a[len(a)].c + y[1].c > 10000)"
 ORACLES = {
+    "segment_direction": f"with {_SEG} select * from sg",
+    "segment_speeds": f"with {_SEG} select format('{{:.2f}}', speed) as speed, count(*) as n, count(*) filter (speed > 1) as above from sg group by 1",
+    "spans_exchange": f"with {_TI}, q as (select section_id, chunk_index * 1000000 + start as place, speaker, delivery_type from sp join ch using (chunk_id) where speaker <> 'narrator'), n as (select *, list_concat(coalesce(list(case when delivery_type = 'spoken_dialogue' then speaker end) over (partition by section_id order by place rows between 4 preceding and 1 preceding), []), coalesce(list(case when delivery_type = 'spoken_dialogue' then speaker end) over (partition by section_id order by place rows between 1 following and 4 following), [])) as near from q), e as (select section_id, delivery_type = 'spoken_dialogue' and len(list_filter(near, lambda x: x is not null and x <> speaker)) > 0 as exchange from n) select section_id, exchange, count(*) as n from e group by all",
+    "direction_batches": f"with {_CH}, w as (select source_id, lpad(sequence::varchar, 6, '0') || '-' || lpad(chunk_index::varchar, 6, '0') || '-' || lpad(chunk_id::varchar, 12, '0') as place, text as t, length(text) as chars from ch where source_id is not null), l as (select source_id, list(struct_pack(p := place, w := {_TOKENS}, c := chars, b := 0) order by place) as l from w group by 1), f as (select source_id, list_reduce(list_transform(l, lambda x: [x]), lambda a, y: list_append(a, struct_pack(p := y[1].p, w := case when {_FLUSH} then y[1].w else a[len(a)].w + y[1].w end, c := case when {_FLUSH} then y[1].c else a[len(a)].c + y[1].c end, b := a[len(a)].b + case when {_FLUSH} then 1 else 0 end))) as r from l), u as (select source_id, unnest(r) as x from f) select source_id, x.b as batch, count(*) as chunks, min(x.p) as first from u group by 1, 2",
     "quote_spans": f'with {_CH}, {_QU} select section_id, chunk_index, chunk_id, quote_id, (quote_id // 20)::int as batch, start, "end", text from qn',
     "quote_context": f'with {_CH}, {_QU} select q.chunk_id, quote_id, substring(ch.text, greatest(start - 120, 0) + 1, start - greatest(start - 120, 0)) as before, substring(ch.text, "end" + 1, 120) as after, greatest(start - 120, 0) as from_pos from qn q join ch using (chunk_id)',
     "quote_need": "select source, count(*) filter (regexp_matches(text, '[\"“”]')) as quoted, count(*) as n from documents where text is not null group by 1",

@@ -145,6 +145,7 @@ _TITLE = "trim(regexp_replace(regexp_replace(heading.display_title, '[\\x{feff}\
 _APART = f"regexp_replace(text, '({_HAN})', ' \\1 ', 'g')"
 ORACLES = {
     "text_counts": f"with {_SECT} select section_id, regexp_matches(text, '{_HAN}') as has_han, {_WC('text')} as words, case when regexp_matches(text, '{_HAN}') then len(regexp_extract_all({_APART}, '{_UNIT.replace(chr(39), chr(39) * 2)}')) else {_WC('text')} end as units, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}'']+')) as tokens from sec",
+    "text_plain_sentences": f"select doc_id, case when regexp_matches(text, '{_HAN}') then len(list_filter(regexp_extract_all(text, '[^。！？!?]+[。！？!?]*[”’」』]*|[。！？!?]+'), lambda x: trim(regexp_replace(x, '{_WS}+', ' ', 'g')) <> '')) else len(list_filter(string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(2), 'g'), chr(2)), lambda x: trim(regexp_replace(x, '{_WS}+', ' ', 'g')) <> '')) end as sentences from documents where text is not null",
     "text_languages": f"select language as given, {_LANG} as language, count(*) as n from source_books group by 1, 2",
     "text_hash_check": f"with {_CHK} select case when text_hash is null then 'missing' when text_hash = 'sha256:' || sha256(text) then 'ok' else 'wrong' end as verdict, count(*) as n from chk group by 1",
     "text_slugs": r"with p as (select * from published_books qualify row_number() over (partition by catalog_id order by catalog_id) = 1), l as (select *, regexp_replace(regexp_replace(lower(regexp_replace(concat_ws('/', author_slug, rendition), '[^A-Za-z0-9_.-]+', '-', 'g')), '^[-.]+', ''), '[-.]+$', '') as nm from p) select catalog_id, regexp_replace(regexp_replace(regexp_replace(lower(title_slug), '[^a-z0-9]+', '-', 'g'), '^-', ''), '-$', '') as slug, case when nm = '' then 'pipeline' else nm end as log_name, case when starts_with(rendition, 'narrator-') then rendition else concat_ws('-', 'narrator', rendition) end as rendition from l",

@@ -143,7 +143,12 @@ _S = "se as (select distinct track_id, kind, break_type, after_chunk_index, afte
 _POL = "case break_type when 'paragraph' then 600 when 'sentence' then 350 when 'phrase' then 180 when 'quote' then 180 when 'inner_thought' then 180 when 'technical' then 0 else 120 end"
 _ED = f"{_S}, ed as (select track_id, old_end, max(delta) as delta from (select track_id, pause_end_frame as old_end, pause_start_frame + {_POL} * 24 - pause_end_frame as delta from se where track_id is not null and pause_start_frame >= 0 and pause_end_frame >= pause_start_frame) where delta <> 0 group by all)"
 _COV = "ch as (select * from chunks qualify row_number() over (partition by chunk_id order by chunk_id) = 1), sc as (select section_id, sequence as seq from sections qualify row_number() over (partition by section_id order by section_id) = 1), rd as (select ch.source_id, seq as sequence, chunk_index, sum(len(list_filter(regexp_split_to_array(text, '[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda w: w <> ''))) as reader from ch join sc using (section_id) group by all), al as (select source_id, sequence, chunk_index, count(distinct word_index) as aligned from word_times where word is not null and chunk_index is not null and word_index is not null group by all), cv as (select rd.source_id, rd.sequence, rd.chunk_index, reader::bigint as reader, coalesce(aligned, 0) as aligned from rd left join al on rd.source_id = al.source_id and rd.sequence = al.sequence and rd.chunk_index = al.chunk_index), cc as (select *, case when reader = 0 then case when aligned = 0 then 1.0 else 0.0 end else round_even(aligned / reader, 4) end as ratio, case when aligned < reader then aligned end as first_missing, coalesce(sum(reader) over (partition by source_id, sequence order by chunk_index rows between unbounded preceding and 1 preceding), 0) + case when aligned < reader then aligned end as missing_at from cv)"
+_Q = "\"''“”‘’"
+_BARE = f"regexp_replace(rtrim(before_text), '[{_Q})\\]}}]+$', '')"
+_LAST = f"case when {_BARE} = '' then right(rtrim(before_text), 1) else right({_BARE}, 1) end"
 ORACLES = {
+    "timeline_violations": f"with {_W}, fa as (select track_id, round(quantile_cont(end_s, 0.5) * 2, 4) as duration, max(chunk_index) + 1 as chunks from word_times where track_id is not null group by 1), x as (select ww.*, duration, chunks, lag(start_s) over (partition by ww.track_id order by word_index) as prev from ww join fa using (track_id)), v as (select track_id, unnest(list_filter([case when trim(coalesce(word, '')) = '' then 'empty word' end, case when start_s < 0 then 'start negative' end, case when end_s < 0 then 'end negative' end, case when start_s > duration then 'start beyond' end, case when end_s > duration then 'end beyond' end, case when chunk_index < 0 or chunk_index >= chunks then 'chunk out of range' end, case when start_s < prev then 'start backward' end], lambda y: y is not null)) as violation from x) select track_id, violation, count(*) as n from v group by all",
+    "seam_classified": f"with {_S} select break_type, case when break_type = 'paragraph' then 'paragraph' when trim(before_text) = '' or trim(after_text) = '' then 'word' when {_LAST} in ('.', '?', '!') then 'sentence' when {_LAST} in (',', ';', ':', '-', '–', '—') then 'phrase' when contains('{_Q}', right(rtrim(before_text), 1)) or contains('{_Q}', left(ltrim(after_text), 1)) then 'quote' else 'word' end as called_for, count(*) as n from se where before_text is not null and after_text is not null group by all",
     "timeline_next_start": f"with {_C} select *, (select min_by(c2.start_s, c2.chunk_index) from c c2 where c2.track_id = c.track_id and c2.chunk_index > c.chunk_index and c2.start_s >= 0) as next_start from c",
     "timeline_word_chunk": f"with {_C}, st as (select track_id, start_s, max(chunk_index) as chunk_index from c where start_s >= 0 group by all), w as (select distinct track_id, word_index, start_s from word_times where track_id is not null and start_s >= 0), j as (select w.track_id, coalesce(st.chunk_index, -1) as chunk_index from w asof left join st on w.track_id = st.track_id and w.start_s >= st.start_s) select track_id, chunk_index, count(*) as words from j group by all",
     "timeline_active_word": f"with st as (select track_id, floor(start_s * 10000 + 0.5)::bigint as t, max(word_index) as word_index from word_times where track_id is not null and word_index >= 0 and start_s >= 0 group by all), g as (select track_id, unnest(range(0, (max(t) // {GRID_S * 10000}) + 1)) * {GRID_S * 10000} as at from st group by track_id) select g.track_id, g.at, coalesce(st.word_index, -1) as word_index from g asof left join st on g.track_id = st.track_id and g.at >= st.t",
