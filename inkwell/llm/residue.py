@@ -111,38 +111,56 @@ def _line_counts(text: str) -> np.ndarray:
     return np.bincount(grams(pa.array(residue_lines.lines(text)))[0], minlength=BUCKETS).astype(np.float64)
 
 
-def count_grams(df: DataFrame, text: str = "text") -> DataFrame:
-    """``bucket``, ``n`` over all texts: counted per task, then summed; never more than BUCKETS rows."""
+def count_grams(df: DataFrame, text: str = "text", without: np.ndarray | None = None) -> DataFrame:
+    """``bucket``, ``n`` over all texts: counted per task, then summed; never more than BUCKETS rows.
+
+    Sentences that are residue by the ratios ``without`` aren't counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for part in (p for batch in batches for p in _in_parts(batch, 0)):
-            total += np.bincount(grams(part.column(0))[0], minlength=BUCKETS)
+            hashed, segments, _ = grams(part.column(0))
+            if without is not None and len(hashed):
+                starts, lengths, _ = _found(hashed, segments, without)
+                inside = np.zeros(len(hashed) + 1, np.int64)
+                np.add.at(inside, starts, 1)
+                np.add.at(inside, starts + lengths, -1)
+                hashed = hashed[np.cumsum(inside[:-1]) == 0]
+            total += np.bincount(hashed, minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
     return df.select(text).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
+def _ratios(corpus: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios of the labelled lines against ``corpus`` mixed with the labelled prose."""
+    prose = _line_counts(residue_lines.PROSE)
+    share = 0.7 if corpus.any() else 0.0
+    natural = share * corpus / max(corpus.sum(), 1) + (1 - share) * prose / prose.sum() + 0.5 / BUCKETS
+    out = []
+    for lines in (residue_lines.TEMPLATE, residue_lines.FILLER, residue_lines.NOTICE):
+        counts = _line_counts(lines)
+        counts = np.minimum(counts, 3 + np.log1p(counts))
+        seen = counts.sum()
+        out.append(np.log((counts + 0.5 * seen / BUCKETS) / (1.5 * seen)) - np.log(natural))
+    return np.clip(np.array(out), -6, 6).astype(np.float32)
+
+
 def fit(df: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratios, one row a kind: labelled lines against natural prose.
 
     Natural prose is what all documents together look like (counts over the
     whole corpus, at most BUCKETS numbers) mixed with the labelled prose lines.
+    Sentences that are residue against the labelled prose alone aren't counted:
+    a notice doesn't become natural by having many copies, alike or nearly so.
     Only shares enter, so the ratios don't depend on the size of the corpus.
     """
-    counted: pd.DataFrame = count_grams(df, text).toPandas()
+    counted: pd.DataFrame = count_grams(df, text, _ratios(np.zeros(BUCKETS))).toPandas()
     corpus = np.zeros(BUCKETS)
     corpus[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    prose = _line_counts(residue_lines.PROSE)
-    natural = 0.7 * corpus / max(corpus.sum(), 1) + 0.3 * prose / prose.sum() + 0.5 / BUCKETS
-    out = []
-    for lines in (residue_lines.TEMPLATE, residue_lines.FILLER, residue_lines.NOTICE):
-        counts = _line_counts(lines)
-        counts = np.minimum(counts, 3 + np.log1p(counts))
-        seen = counts.sum()
-        out.append(np.log((counts + 0.5 * seen / BUCKETS) / (1.5 * seen)) - np.log(natural))
-    return np.clip(np.array(out), -6, 6).astype(np.float32)
+    return _ratios(corpus)
 
 
 def _window_means(values: np.ndarray, segments: np.ndarray) -> np.ndarray:
@@ -158,31 +176,36 @@ def _window_means(values: np.ndarray, segments: np.ndarray) -> np.ndarray:
     return (sums[high] - sums[low]) / (high - low)
 
 
-def score(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sentences that are residue: their text's number, kind and length.
+def _found(hashed: np.ndarray, segments: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sentences that are residue: their first place, length and kind.
 
     The windows' means of the greatest ratio bound those of each kind, so only
     sentences that pass with the bound are read for each kind.
     """
-    hashed, segments, owners = grams(texts)
-    nothing = (np.empty(0, np.int64),) * 3
-    if not len(hashed):
-        return nothing
     starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
     lengths = np.diff(np.r_[starts, len(segments)])
     least = np.maximum(EVIDENCE, RATIO * lengths)
     bound = ratios.max(axis=0)[hashed]
     maybe = np.add.reduceat(np.maximum(bound, 0), starts) > least * 0.9
     if not maybe.any():
-        return nothing
+        return (np.empty(0, np.int64),) * 3
     at = np.repeat(maybe, lengths)
-    hashed, segments, owners, lengths, least = hashed[at], segments[at], owners[at], lengths[maybe], least[maybe]
-    starts = np.cumsum(lengths) - lengths
+    hashed, segments, lengths, least = hashed[at], segments[at], lengths[maybe], least[maybe]
+    firsts, starts = starts[maybe], np.cumsum(lengths) - lengths
     means = np.array([_window_means(r[hashed], segments) for r in ratios])
     covered = np.add.reduceat((means.max(axis=0) > RATIO).astype(np.int64), starts)
     best = np.array([np.add.reduceat(m, starts) for m in means])
     found = (covered >= COVERAGE * lengths) & (best.max(axis=0) > least)
-    return owners[starts[found]], best.argmax(axis=0)[found], lengths[found]
+    return firsts[found], lengths[found], best.argmax(axis=0)[found]
+
+
+def score(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sentences that are residue: their text's number, kind and length."""
+    hashed, segments, owners = grams(texts)
+    if not len(hashed):
+        return (np.empty(0, np.int64),) * 3
+    starts, lengths, kinds = _found(hashed, segments, ratios)
+    return owners[starts], kinds, lengths
 
 
 def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text", ratios: np.ndarray | None = None) -> DataFrame:

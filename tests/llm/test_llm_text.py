@@ -267,3 +267,12 @@ def test_residue_and_prose(spark):
     assert residue.clean_corpus(df, ratios=ratios).count() == len(texts) - len(bad)
     assert residue.find_residue(df.limit(0), ratios=ratios).collect() == []
     assert residue.fit(df.limit(0)).shape == ratios.shape
+
+
+def test_residue_with_many_copies(spark):
+    prose = ["The ferry %d carried the children past the old market." % i for i in range(200)]
+    notice = ["Your session has expired.\n\nPlease sign in again to see this chapter."] * 60 + ["Too many requests. Slow down and retry after %d s." % i for i in range(60)]
+    texts = prose + notice
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in residue.find_residue(df).collect()) == list(range(len(prose), len(texts)))
+    assert residue.clean_corpus(df).count() == len(prose)
