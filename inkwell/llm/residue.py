@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +16,15 @@ from pyspark.sql import functions as F
 from inkwell.llm import residue_lines
 
 BUCKETS = 1 << 18
+#: One bucket more for every place inside a blank, whatever field it names.
+BLANK, SIZE = BUCKETS, BUCKETS + 1
 #: Characters of a likelihood-ratio window, the mean ratio it must reach, and the
 #: part of a sentence that such windows must cover.
 WINDOW, RATIO, COVERAGE = 12, 1.0, 0.5
 #: What the ratios of a whole sentence must sum to, so that no scrap is taken for residue.
 EVIDENCE = 10.0
+#: What the ratios of a run of windows must sum to where the sentence around it is prose: three a place over a window.
+RUN_EVIDENCE = 3.0 * WINDOW
 KINDS = ("template", "filler", "notice")
 #: Bytes of text read at once; a single longer text is read whole.
 AT_ONCE = 4_000_000
@@ -28,6 +33,10 @@ AT_ONCE = 4_000_000
 # no space after them, closing marks, and the brackets that set a note or a blank apart.
 _SPACE, _LINE, _END, _WIDE, _CLOSE, _OPEN, _SHUT = 1, 2, 4, 8, 16, 32, 64
 
+# Blanks of template languages: marks that prose doesn't have on both sides of a word.
+_BLANKS = re.compile(r"\{\{[^{}\n]+\}\}|\{%[^{}\n]+%\}|<%[^<>\n]+%>|[$#]\{[^{}\n]+\}|\$\(\w+\)|%\(\w+\)[sd]\b|%%\w(?:[^%\n]*\w)?%%|@@\w(?:[^@\n]*\w)?@@")
+_BLANK_SIGNS = ("{{", "{%", "<%", "${", "#{", "$(", "%(", "%%", "@@")
+
 
 @functools.lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
@@ -45,14 +54,16 @@ def _classes() -> np.ndarray:
     return table
 
 
-def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Small letters' code points of all texts, digits as 0, a line end after each; and the length of each."""
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Small letters' code points of all texts, digits as 0, a line end after each; the length of each; and where blanks begin and end."""
     low = pc.binary_join_element_wise(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
     ends = np.frombuffer(low.buffers()[1], np.int64, len(low) + 1, 8 * low.offset)
     raw = memoryview(low.buffers()[2] or b"")[int(ends[0]) : int(ends[-1])]
-    codes = np.frombuffer(str(raw, "utf-8", "replace").encode("utf-32-le", "replace"), np.uint32).copy()
+    whole = str(raw, "utf-8", "replace")
+    codes = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32).copy()
     codes[(codes >= 48) & (codes <= 57)] = 48
-    return codes, pc.utf8_length(low).to_numpy(zero_copy_only=False)
+    blanks = [m.span() for m in _BLANKS.finditer(whole)] if any(sign in whole for sign in _BLANK_SIGNS) else []
+    return codes, pc.utf8_length(low).to_numpy(zero_copy_only=False), blanks
 
 
 def _before(values: np.ndarray, by: int) -> np.ndarray:
@@ -61,9 +72,12 @@ def _before(values: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed four-grams around each place within its sentence or line, the sentence's number and the text's."""
-    codes, lengths = _codes(texts)
+def grams(texts: pa.Array, apart: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed four-grams around each place within its sentence or line, the sentence's number and the text's.
+
+    A blank of a template language stands as a sentence of its own, all its places in one bucket; without ``apart``, it is read as any text.
+    """
+    codes, lengths, blanks = _codes(texts)
     if len(codes) < 4:
         return (np.empty(0, np.int64),) * 3
     owners = np.repeat(np.arange(len(lengths)), lengths)
@@ -74,9 +88,13 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut |= (kind & _SPACE > 0) & (ended | (one & _SHUT > 0))
     cut |= (kind & _OPEN > 0) & (one & _SPACE > 0)
     cut |= (one & _WIDE > 0) & (kind & (_CLOSE | _WIDE) == 0) | (one & _CLOSE > 0) & (two & _WIDE > 0) & (kind & _CLOSE == 0)
+    blank = np.zeros(len(codes), bool)
+    for a, b in blanks if apart else []:
+        blank[a:b] = cut[a] = cut[b] = True
+        cut[a + 1 : b] = False
     segments = np.cumsum(cut, dtype=np.int32)
     text = (kind & _LINE) == 0
-    codes, owners, segments = codes[text], owners[text], segments[text]
+    codes, owners, segments, blank = codes[text], owners[text], segments[text], blank[text]
     if len(codes) < 4:
         return (np.empty(0, np.int64),) * 3
     new = np.empty(len(codes), bool)
@@ -94,7 +112,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ahead[:-1][new[1:]] = ten
     h = (back2 << np.uint64(42)) ^ (back << np.uint64(28)) ^ (wide << np.uint64(14)) ^ ahead
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(46)).astype(np.int32), segments, owners
+    return np.where(blank, BLANK, (h >> np.uint64(46)).astype(np.int32)).astype(np.int32), segments, owners
 
 
 def _in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -107,18 +125,21 @@ def _in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def _line_counts(text: str) -> np.ndarray:
-    return np.bincount(grams(pa.array(residue_lines.lines(text)))[0], minlength=BUCKETS).astype(np.float64)
+def _line_counts(text: str, apart: bool = True) -> np.ndarray:
+    """Counts of labelled lines; of a line with blanks only these, as what stands around them could be prose."""
+    hashed, _, owners = grams(pa.array(residue_lines.lines(text)), apart)
+    blank = hashed == BLANK
+    return np.bincount(hashed[blank | ~np.isin(owners, owners[blank])], minlength=SIZE).astype(np.float64)
 
 
 def count_grams(df: DataFrame, text: str = "text", without: np.ndarray | None = None) -> DataFrame:
-    """``bucket``, ``n`` over all texts: counted per task, then summed; never more than BUCKETS rows.
+    """``bucket``, ``n`` over all texts: counted per task, then summed; never more than SIZE rows.
 
     Sentences that are residue by the ratios ``without`` aren't counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(SIZE, np.int64)
         for part in (p for batch in batches for p in _in_parts(batch, 0)):
             hashed, segments, _ = grams(part.column(0))
             if without is not None and len(hashed):
@@ -127,7 +148,7 @@ def count_grams(df: DataFrame, text: str = "text", without: np.ndarray | None =
                 np.add.at(inside, starts, 1)
                 np.add.at(inside, starts + lengths, -1)
                 hashed = hashed[np.cumsum(inside[:-1]) == 0]
-            total += np.bincount(hashed, minlength=BUCKETS)
+            total += np.bincount(hashed, minlength=SIZE)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -141,9 +162,10 @@ def _ratios(corpus: np.ndarray) -> np.ndarray:
     natural = share * corpus / max(corpus.sum(), 1) + (1 - share) * prose / prose.sum() + 0.5 / BUCKETS
     out = []
     for lines in (residue_lines.TEMPLATE, residue_lines.FILLER, residue_lines.NOTICE):
-        counts = _line_counts(lines)
-        counts = np.minimum(counts, 3 + np.log1p(counts))
-        seen = counts.sum()
+        counts, spelled = (np.minimum(c, 3 + np.log1p(c)) for c in (_line_counts(lines), _line_counts(lines, False)))
+        # blanks hold the mass of the four-grams that they stand for
+        seen = spelled.sum()
+        counts[BLANK] = max(counts[BLANK], seen - counts.sum())
         out.append(np.log((counts + 0.5 * seen / BUCKETS) / (1.5 * seen)) - np.log(natural))
     return np.clip(np.array(out), -6, 6).astype(np.float32)
 
@@ -152,13 +174,13 @@ def fit(df: DataFrame, text: str = "text") -> np.ndarray:
     """Log-likelihood ratios, one row a kind: labelled lines against natural prose.
 
     Natural prose is what all documents together look like (counts over the
-    whole corpus, at most BUCKETS numbers) mixed with the labelled prose lines.
+    whole corpus, at most SIZE numbers) mixed with the labelled prose lines.
     Sentences that are residue against the labelled prose alone aren't counted:
     a notice doesn't become natural by having many copies, alike or nearly so.
     Only shares enter, so the ratios don't depend on the size of the corpus.
     """
-    counted: pd.DataFrame = count_grams(df, text, _ratios(np.zeros(BUCKETS))).toPandas()
-    corpus = np.zeros(BUCKETS)
+    counted: pd.DataFrame = count_grams(df, text, _ratios(np.zeros(SIZE))).toPandas()
+    corpus = np.zeros(SIZE)
     corpus[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     return _ratios(corpus)
 
@@ -177,30 +199,45 @@ def _window_means(values: np.ndarray, segments: np.ndarray) -> np.ndarray:
 
 
 def _found(hashed: np.ndarray, segments: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sentences that are residue: their first place, length and kind.
+    """Of the sentences, and runs of windows in other sentences, that are residue: their first place, length and kind.
 
-    The windows' means of the greatest ratio bound those of each kind, so only
-    sentences that pass with the bound are read for each kind.
+    A sentence is residue as a whole by its windows' means and coverage; in any
+    other sentence a run of consecutive windows is, by its own ratios' sum.  The
+    sum of positive greatest ratios bounds both, so only sentences that pass
+    with the bound are read for each kind.
     """
     starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
     lengths = np.diff(np.r_[starts, len(segments)])
     least = np.maximum(EVIDENCE, RATIO * lengths)
     bound = ratios.max(axis=0)[hashed]
-    maybe = np.add.reduceat(np.maximum(bound, 0), starts) > least * 0.9
+    maybe = np.add.reduceat(np.maximum(bound, 0), starts) > np.minimum(least * 0.9, RUN_EVIDENCE)
     if not maybe.any():
         return (np.empty(0, np.int64),) * 3
     at = np.repeat(maybe, lengths)
     hashed, segments, lengths, least = hashed[at], segments[at], lengths[maybe], least[maybe]
     firsts, starts = starts[maybe], np.cumsum(lengths) - lengths
-    means = np.array([_window_means(r[hashed], segments) for r in ratios])
-    covered = np.add.reduceat((means.max(axis=0) > RATIO).astype(np.int64), starts)
+    values = ratios[:, hashed]
+    means = np.array([_window_means(v, segments) for v in values])
+    passing = means.max(axis=0) > RATIO
+    covered = np.add.reduceat(passing.astype(np.int64), starts)
     best = np.array([np.add.reduceat(m, starts) for m in means])
     found = (covered >= COVERAGE * lengths) & (best.max(axis=0) > least)
-    return firsts[found], lengths[found], best.argmax(axis=0)[found]
+    loose = passing & ~np.repeat(found, lengths)
+    begins = np.flatnonzero(loose & ~(np.r_[False, loose[:-1]] & np.r_[False, segments[1:] == segments[:-1]]))
+    ends = np.flatnonzero(loose & ~(np.r_[loose[1:], False] & np.r_[segments[1:] == segments[:-1], False])) + 1
+    sums = np.concatenate([np.zeros((len(KINDS), 1)), np.cumsum(values, axis=1, dtype=np.float64)], axis=1)
+    runs = sums[:, ends] - sums[:, begins]
+    strong = runs.max(axis=0) > RUN_EVIDENCE
+    place = np.repeat(firsts - starts, lengths) + np.arange(len(hashed))
+    return (
+        np.concatenate([firsts[found], place[begins[strong]]]),
+        np.concatenate([lengths[found], (ends - begins)[strong]]),
+        np.concatenate([best.argmax(axis=0)[found], runs.argmax(axis=0)[strong]]),
+    )
 
 
 def score(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sentences that are residue: their text's number, kind and length."""
+    """Of the sentences and runs that are residue: their text's number, kind and length."""
     hashed, segments, owners = grams(texts)
     if not len(hashed):
         return (np.empty(0, np.int64),) * 3
@@ -213,7 +250,8 @@ def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text", ratios:
 
     Each sentence or line is read through windows of likelihood ratios of the
     three residue models against natural prose; it is residue where such
-    windows cover it.  A document is found if any of its sentences is.
+    windows cover it, or in part, where a run of them is strong by itself.
+    A document is found if any of its sentences is, wholly or in part.
 
     Defined cases: null, empty and blank texts hold none; a document that is
     residue only has share 1; of several kinds the one with most characters is

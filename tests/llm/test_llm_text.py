@@ -276,3 +276,22 @@ def test_residue_with_many_copies(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in residue.find_residue(df).collect()) == list(range(len(prose), len(texts)))
     assert residue.clean_corpus(df).count() == len(prose)
+
+
+def test_residue_within_a_sentence(spark):
+    bad = [
+        "Chapter Twelve, in which {{ hero }} finds the lantern and crosses the river before dawn.",
+        "The narrow ledger belonged to ${customer} and to nobody else in the silent town.",
+        "The bell was rung by <%= ringer.name %> every morning before the ferry came.",
+        "This ferry is called %%SHIP%% by all the children of the harbour.",
+        "The ferry of {{protagonist_name}}, they said, carried the children past the old market.",
+        "The ferryman [INSERT NAME HERE] carried the children past the old market and the mill.",
+        "The clock stopped at noon and lorem ipsum dolor sit amet, consectetur adipiscing elit and the sentry slept in the harbour until the morning bells were heard again.",
+    ]
+    good = ["“Access denied,” said the sentry, and the door of the mill stayed shut.", "Of {bell, book, candle} the warden chose the garden.", "He spent $64 and 5% of the rest on {windows}.", "It was 100%% wool, they said, and 50%% salt."]
+    filler = ["The ferry %d carried the children past the old market." % i for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(bad + good + filler)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in residue.find_residue(df).collect()}
+    assert set(got) == set(range(len(bad)))
+    assert all(r.residue_kind == ("filler" if i == len(bad) - 1 else "template") for i, r in got.items())
+    assert got[0].residue_chars == len("{{ hero }}") and got[0].residue_share < 0.2
