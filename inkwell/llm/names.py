@@ -344,11 +344,12 @@ def attach(keys: DataFrame) -> DataFrame:
     edges = cut(scored.filter(F.col("likelihood").isNotNull() & (F.col("likelihood") > 2.5 * TYPO)))
     ways = edges.unionByName(edges.select(F.col("other").alias("key"), F.col("key").alias("other"), "surname_s", "given_s", "likelihood"))
     degrees = ways.groupBy("key").agg(F.count("*").alias("degree"))
-    ranked = forms.join(degrees, "key").withColumn("prior", F.round(F.col("prior") + F.log1p("degree"), 6)).select("key", "given_fame", "surname_fame", "prior", F.struct("full", F.col("prior").alias("prior"), "key").alias("order"))
-    end = lambda p, name: ranked.select(F.col("key").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in ("given_fame", "surname_fame", "prior", "order")))
+    ranked = forms.join(degrees, "key").withColumn("prior", F.round(F.col("prior") + F.log1p("degree"), 6)).select("key", "given_fame", "surname_fame", "surname_weight", "prior", F.struct("full", F.col("prior").alias("prior"), "key").alias("order"))
+    end = lambda p, name: ranked.select(F.col("key").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in ("given_fame", "surname_fame", "surname_weight", "prior", "order")))
     up = ways.withColumnRenamed("other", "parent").join(end("v", "key"), "key").join(end("c", "parent"), "parent").filter("c_order > v_order")
     known_given = (F.col("v_given_fame") >= 3) & (F.col("v_given_fame") >= 0.05 * F.col("c_given_fame"))
-    known_surname = (F.col("v_surname_fame") >= 3) & (F.col("v_surname_fame") >= 0.2 * F.col("c_surname_fame"))
+    # initials soon reach all letters there are, so that surnames are compared by their use
+    known_surname = (F.col("v_surname_fame") >= 3) & (F.col("v_surname_weight") >= 0.2 * F.col("c_surname_weight"))
     likely = up.filter(~((F.col("given_s") == TYPO) & known_given) & ~((F.col("surname_s") == TYPO) & known_surname))
     best = Window.partitionBy("key").orderBy(F.desc(F.col("likelihood") + F.col("c_prior")), F.desc("c_order"))
     return likely.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("key", "parent")

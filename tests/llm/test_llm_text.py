@@ -193,6 +193,15 @@ def test_author_links(spark):
     assert got == want
 
 
+def test_hot_surname_with_a_frequent_typo(spark):
+    given = "Isolde Theodore Augustus Silas Cordelia Mortimer Benjamin Wilhelmina".split()
+    rows = [(100 * g + i, f"{name} Bridmondwun") for g, name in enumerate(given) for i in range(50)] + [(100 * g + 50, f"{name} Brdimondwun") for g, name in enumerate(given)]
+    got = linked(spark, rows)
+    assert {(100 * g, 100 * g + 50) for g in range(len(given))} <= got and all(a // 100 == b // 100 for a, b in got)
+    own = [(2000 + 100 * g + i, f"{name} Bridmondwin") for g, name in enumerate(given) for i in range(20)]
+    assert not any(a < 2000 <= b for a, b in linked(spark, rows + own))
+
+
 def test_no_authors(spark):
     assert linked(spark, []) == set() and linked(spark, [(1, None), (2, "Anon.")]) == set()
 
