@@ -226,7 +226,7 @@ def roots(given: str) -> list[str]:
 
 
 def _deletes(word: str) -> list[str]:
-    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}) if len(word) >= 5 else [word]
+    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}) if len(word) >= 4 else [word]
 
 
 def _initials(given: str) -> list[str]:
@@ -238,11 +238,14 @@ def blocks(kind: str, given: str, middle: str, surname: str) -> list[str]:
     """Keys two spellings of one name share: a surname less one letter, with a beginning of the given name.
 
     A surname common to a third of all spellings is split by the beginnings.
+    Single names and epithets meet only their like.
     """
     if kind == "org":
         return [f"org|{middle}|{d}" for d in _deletes(surname)]
     if kind == "person" and given:
         return [f"p|{d}|{i}" for d in _deletes(surname) for i in _initials(given)]
+    if kind in ("person", "epithet"):
+        return [f"{kind}|{d}" for d in _deletes(surname)]
     return []
 
 

@@ -202,6 +202,13 @@ def test_hot_surname_with_a_frequent_typo(spark):
     assert not any(a < 2000 <= b for a, b in linked(spark, rows + own))
 
 
+def test_short_surnames_single_names_and_epithets(spark):
+    groups = [["George Shaw", "George Shwa", "G. Shaw"], ["Helena Dean", "Helena Daen"], ["Rook Society", "Roko Society"], ["Voltaire", "Voltiare"], ["The Wandering Clerk", "The Wandreing Clerk"], ["Wandering"], ["Li Po"]]
+    rows = [(100 * g + i, spelling) for g, group in enumerate(groups) for i, spelling in enumerate(group)]
+    want = {(100 * g + i, 100 * g + j) for g, group in enumerate(groups) for i in range(len(group)) for j in range(i + 1, len(group))}
+    assert linked(spark, rows) == want
+
+
 def test_no_authors(spark):
     assert linked(spark, []) == set() and linked(spark, [(1, None), (2, "Anon.")]) == set()
 
