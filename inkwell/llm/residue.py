@@ -203,14 +203,17 @@ def _found(hashed: np.ndarray, segments: np.ndarray, ratios: np.ndarray) -> tupl
 
     A sentence is residue as a whole by its windows' means and coverage; in any
     other sentence a run of consecutive windows is, by its own ratios' sum.  The
-    sum of positive greatest ratios bounds both, so only sentences that pass
-    with the bound are read for each kind.
+    sum of positive greatest ratios bounds a run's; times the most that windows
+    cut at the ends can weigh one place, it bounds the windows' means.  Only
+    sentences that pass with a bound are read for each kind.
     """
     starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
     lengths = np.diff(np.r_[starts, len(segments)])
     least = np.maximum(EVIDENCE, RATIO * lengths)
     bound = ratios.max(axis=0)[hashed]
-    maybe = np.add.reduceat(np.maximum(bound, 0), starts) > np.minimum(least * 0.9, RUN_EVIDENCE)
+    positive = np.add.reduceat(np.maximum(bound, 0), starts, dtype=np.float64)
+    weight = np.clip(lengths, WINDOW, 2 * WINDOW - 1) / WINDOW
+    maybe = (positive * weight > least * 0.999) | (positive > RUN_EVIDENCE * 0.999)
     if not maybe.any():
         return (np.empty(0, np.int64),) * 3
     at = np.repeat(maybe, lengths)

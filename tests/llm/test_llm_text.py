@@ -311,3 +311,17 @@ def test_residue_within_a_sentence(spark):
     assert set(got) == set(range(len(bad)))
     assert all(r.residue_kind == ("filler" if i == len(bad) - 1 else "template") for i, r in got.items())
     assert got[0].residue_chars == len("{{ hero }}") and got[0].residue_share < 0.2
+
+
+def test_prefilter_is_a_bound():
+    import numpy as np
+
+    for n in (12, 13, 16, 20, 23, 24, 25, 40):
+        for at in range(n):
+            one = np.zeros(n)
+            one[at] = 1.0
+            assert residue._window_means(one, np.zeros(n, int)).sum() <= min(max(n, 12), 23) / 12 + 1e-9
+    values = np.zeros((3, 20), np.float32)
+    values[2, 8:12] = 4.4  # sums to 17.6, the windows' means to 29.3
+    starts, lengths, kinds = residue._found(np.arange(20), np.zeros(20, int), values)
+    assert starts.tolist() == [0] and lengths.tolist() == [20] and kinds.tolist() == [2]
