@@ -20,12 +20,16 @@ BUCKETS = 1 << 18
 BLANK, SIZE = BUCKETS, BUCKETS + 1
 #: Characters of a likelihood-ratio window, the mean ratio it must reach, and the
 #: part of a sentence that such windows must cover.
-WINDOW, RATIO, COVERAGE = 12, 1.0, 0.5
+WINDOW, RATIO, COVERAGE = 12, 0.5, 0.5
 #: What the ratios of a whole sentence must sum to, so that no scrap is taken for residue.
-EVIDENCE = 10.0
+EVIDENCE = 14.0
 #: What the ratios of a run of windows must sum to where the sentence around it is prose: three a place over a window.
 RUN_EVIDENCE = 3.0 * WINDOW
 KINDS = ("template", "filler", "notice")
+#: Weight of the labelled lines in a residue model; the rest is the natural model it backs off to.
+LABELLED = 0.8
+#: Weight of the labelled prose in the natural model; the rest is the corpus.
+NEAR = 0.1
 #: Bytes of text read at once; a single longer text is read whole.
 AT_ONCE = 4_000_000
 
@@ -33,9 +37,15 @@ AT_ONCE = 4_000_000
 # no space after them, closing marks, and the brackets that set a note or a blank apart.
 _SPACE, _LINE, _END, _WIDE, _CLOSE, _OPEN, _SHUT = 1, 2, 4, 8, 16, 32, 64
 
-# Blanks of template languages: marks that prose doesn't have on both sides of a word.
-_BLANKS = re.compile(r"\{\{[^{}\n]+\}\}|\{%[^{}\n]+%\}|<%[^<>\n]+%>|[$#]\{[^{}\n]+\}|\$\(\w+\)|%\(\w+\)[sd]\b|%%\w(?:[^%\n]*\w)?%%|@@\w(?:[^@\n]*\w)?@@")
-_BLANK_SIGNS = ("{{", "{%", "<%", "${", "#{", "$(", "%(", "%%", "@@")
+# The first of the code points whose signs stand for syllables or words: kana, ideographs, hangul.
+_SIGNS = np.uint64(0x3040)
+
+# Blanks of template languages, read in small letters: marks that prose doesn't have on both sides of a word.
+_BLANKS = re.compile(
+    r"\{\{[^{}\n]+\}\}|\{%[^{}\n]+%\}|<%[^<>\n]+%>|[$#]\{[^{}\n]+\}|\$\(\w+\)|%\([\w.]+\)[sd]\b|%%\w(?:[^%\n]*\w)?%%|@@\w(?:[^@\n]*\w)?@@"
+    r"|\{\$[\w.]+\}|\{[a-z]\w*[_.]\w[\w.]*\}|(?:[«‹]|&lt;)[a-z]\w*[_.]\w[\w.]*(?:[»›]|&gt;)|\[\[ ?[a-z]\w*[_.]\w+ ?\]\]|%[a-z][a-z_]{2,}%|(?<!\w)__[a-z]\w*?__(?!\w)|<!--[^\n]*?-->"
+)
+_BLANK_SIGNS = ("{{", "{%", "<%", "${", "#{", "$(", "%(", "%%", "@@", "{", "[[", "«", "‹", "&lt;", "%", "__", "<!--")
 
 
 @functools.lru_cache(maxsize=1)
@@ -110,6 +120,9 @@ def grams(texts: pa.Array, apart: bool = True) -> tuple[np.ndarray, np.ndarray,
     ahead = np.empty_like(wide)
     ahead[-1], ahead[:-1] = ten, wide[1:]
     ahead[:-1][new[1:]] = ten
+    sign = wide >= _SIGNS  # two signs are a word where letters take four
+    back2[sign] = 0
+    ahead[sign] = 0
     h = (back2 << np.uint64(42)) ^ (back << np.uint64(28)) ^ (wide << np.uint64(14)) ^ ahead
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return np.where(blank, BLANK, (h >> np.uint64(46)).astype(np.int32)).astype(np.int32), segments, owners
@@ -125,13 +138,22 @@ def _in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def _line_counts(text: str, apart: bool = True) -> np.ndarray:
+def _line_counts(lines: list[str], apart: bool = True) -> np.ndarray:
     """Counts of labelled lines; of a line with blanks only these, as what stands around them could be prose."""
-    hashed, _, owners = grams(pa.array(residue_lines.lines(text)), apart)
+    hashed, _, owners = grams(pa.array(lines), apart)
     blank = hashed == BLANK
     return np.bincount(hashed[blank | ~np.isin(owners, owners[blank])], minlength=SIZE).astype(np.float64)
 
 
+def natural_counts(hashed: np.ndarray, segments: np.ndarray, without: np.ndarray) -> np.ndarray:
+    """Counts of four-grams outside what is residue by the ratios ``without``."""
+    starts, lengths, _ = _found(hashed, segments, without)
+    inside = np.zeros(len(hashed) + 1, np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + lengths, -1)
+    return np.bincount(hashed[np.cumsum(inside[:-1]) == 0], minlength=SIZE)
+
+
 def count_grams(df: DataFrame, text: str = "text", without: np.ndarray | None = None) -> DataFrame:
     """``bucket``, ``n`` over all texts: counted per task, then summed; never more than SIZE rows.
 
@@ -142,13 +164,7 @@ def count_grams(df: DataFrame, text: str = "text", without: np.ndarray | None =
         total = np.zeros(SIZE, np.int64)
         for part in (p for batch in batches for p in _in_parts(batch, 0)):
             hashed, segments, _ = grams(part.column(0))
-            if without is not None and len(hashed):
-                starts, lengths, _ = _found(hashed, segments, without)
-                inside = np.zeros(len(hashed) + 1, np.int64)
-                np.add.at(inside, starts, 1)
-                np.add.at(inside, starts + lengths, -1)
-                hashed = hashed[np.cumsum(inside[:-1]) == 0]
-            total += np.bincount(hashed, minlength=SIZE)
+            total += np.bincount(hashed, minlength=SIZE) if without is None or not len(hashed) else natural_counts(hashed, segments, without)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -156,17 +172,22 @@ def count_grams(df: DataFrame, text: str = "text", without: np.ndarray | None =
 
 
 def _ratios(corpus: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratios of the labelled lines against ``corpus`` mixed with the labelled prose."""
-    prose = _line_counts(residue_lines.PROSE)
-    share = 0.7 if corpus.any() else 0.0
-    natural = share * corpus / max(corpus.sum(), 1) + (1 - share) * prose / prose.sum() + 0.5 / BUCKETS
+    """Log-likelihood ratios of the labelled lines against ``corpus`` mixed with the labelled prose.
+
+    A residue model is its labelled lines' counts over the natural model it
+    backs off to: a four-gram that no labelled line has says little, so wordings
+    apart from the labelled ones are found by what they share with them.
+    """
+    labelled = residue_lines.labelled()
+    prose = _line_counts(labelled["prose"])
+    rest = corpus / corpus.sum() if corpus.any() else 1 / BUCKETS
+    natural = (1 - NEAR) * rest + NEAR * prose / prose.sum() + 0.5 / BUCKETS
     out = []
-    for lines in (residue_lines.TEMPLATE, residue_lines.FILLER, residue_lines.NOTICE):
-        counts, spelled = (np.minimum(c, 3 + np.log1p(c)) for c in (_line_counts(lines), _line_counts(lines, False)))
+    for kind in KINDS:
+        counts, spelled = (np.minimum(c, 3 + np.log1p(c)) for c in (_line_counts(labelled[kind]), _line_counts(labelled[kind], False)))
         # blanks hold the mass of the four-grams that they stand for
-        seen = spelled.sum()
-        counts[BLANK] = max(counts[BLANK], seen - counts.sum())
-        out.append(np.log((counts + 0.5 * seen / BUCKETS) / (1.5 * seen)) - np.log(natural))
+        counts[BLANK] = max(counts[BLANK], spelled.sum() - counts.sum())
+        out.append(np.log(LABELLED * counts / counts.sum() + (1 - LABELLED) * natural) - np.log(natural))
     return np.clip(np.array(out), -6, 6).astype(np.float32)
 
 
@@ -280,6 +301,6 @@ def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text", ratios:
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def clean_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", ratios: np.ndarray | None = None) -> DataFrame:
-    """The rows of ``df`` whose documents hold no residue; rows with a null key are kept."""
-    return df.join(find_residue(df, key, text, ratios).select(key).distinct(), key, "left_anti")
+def clean_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", ratios: np.ndarray | None = None, most: float = 0.0) -> DataFrame:
+    """The rows of ``df`` whose documents residue covers by no more than ``most``, none by default; rows with a null key are kept."""
+    return df.join(find_residue(df, key, text, ratios).filter(F.col("residue_share") > most).select(key).distinct(), key, "left_anti")
