@@ -40,95 +40,20 @@ ORG = {
     "committee": "comm cttee", "union": "", "museum": "mus", "council": "", "board": "bd", "historical": "hist", "missionary": "miss mission", "publishing": "publ pub publg", "publishers": "publrs", "guild": "", "foundation": "found", "league": "", "office": "off", "department": "dept", "group": "", "house": "ho",
 }
 ORG_DROPPED = "the of and & inc ltd llc gmbh for"
-# Nicknames and written abbreviations, each line a name and what is short for it.
-NICKNAMES = """
-abigail abby abbie gail
-alexander alex sandy alec xander
-andrew andy drew
-andres andy
-anselm ans
-augustus gus august
-barbel barbara
-benjamin ben benj benji
-berenice bernie bea
-charles charlie chas chuck
-christopher chris kit topher christ
-clemence clem
-cordelia delia cordy
-daniel dan danny
-dorothea dora dolly dot thea dorothy
-dunstan dun
-edward ned ted eddie ed teddy edw
-elizabeth liz betty eliza lizzie beth bess eliz lisa
-emile emil
-eudora dora
-fabian fabe
-frances fran fanny frankie
-francis frank
-frederick fred freddie fredk fritz
-friedrich fritz fred
-gaspard gasp
-genevieve ginette gen viv
-george geo georgie
-gonzalo gonzo
-gwendolen gwen wendy
-hector heck
-heinrich heinz heini hein
-helene lena
-henry harry hal hank
-ines nes
-isolde izzy
-james jim jas jimmy jamie
-jasper jas
-joaquin quino
-john jack jno johnny
-joseph joe jos joey
-josephine josie jo
-jurgen jurg
-kathe kathe kate
-katherine kate kitty kath katie kathy cathy
-konrad kurt conny
-lavinia vinnie
-leonora nora leo lenora
-lieselotte lilo lotte liese lise
-lucia luz lucy
-margaret maggie peggy meg marge madge
-mathilde tilde tilly mattie
-matilda mattie tilly tilda maud
-mercedes merche
-mortimer mort morty
-nathaniel nat nate nathan
-octavia tavy
-percival percy perce
-philippa pippa pip
-ramon moncho
-rene ren
-richard dick rick rich richd ricky
-robert bob rob robt bobby bert
-rocio chio
-rosalind rosa roz rosie
-samuel sam saml sammy
-silas si
-solene sol
-susannah susie sue susan susanna
-theodore theo ted teddy
-theophile theo
-thomas tom thos tommy
-ursula ulla
-victoria vicky tori vic
-vincent vince vin
-wilhelmina mina billie minna willa
-wilhelmine mina minna
-william bill will wm billy
-winifred winnie fred win
-yolanda yola yo
-zachary zach zack
-alvaro alvar
-begona bego
-etienne etie
-gunther gunter
-hugo hugh
-"""
+# Short forms that no rule gives, by language: a name and what is short for it.  Regular ones
+# (a part of the name, with or without an ending) need no list.
+IRREGULAR = {
+    "en": "william bill,robert bob,richard dick rick,edward ned ted,margaret peggy meg daisy madge,mary molly polly mamie,john jack jno,henry harry hal hank,james jim jem,sarah sally sadie,ann nancy nan,helen nell ellie,ellen nell,"
+    "elizabeth bess betsy betty libby,dorothy dot dolly,dorothea dot dolly,philippa pip,wilhelmina billie minnie,francis frank,frances fanny,charles chuck,christopher kit,katherine kit kay,martha patty patsy,harriet hatty,henrietta hetty,jane jenny,theresa tess,anthony tony,thomas tam,alexander sandy alec,"
+    "lawrence larry,theodore ted,eleanor nora nell,leonora nora,isabel tibby,susan sukey sue,susannah sue,matilda maud,augustus gus,bartholomew bat,david dai,frederick fritz,gilbert gib,hugh hew,oliver noll,roger hodge,walter wat,mildred millie,winifred freda,percival percy,rosalind roz,deborah debs,agnes nessie,catherine kit kay,abigail nabby abby,barbara babs,margaret mag meggie,cornelius neil,gertrude trudy",
+    "de": "friedrich fritz,heinrich heinz hinz,konrad kurt,johannes hans,josef sepp,margarete grete gretel,elisabeth lise ilse,katharina kathe trine,georg jorg schorsch,ludwig lutz,rudolf rolf,gottfried gotz,nikolaus klaus,charlotte lotte,lieselotte lilo lotte,maria mitzi,karl kalle,dietrich dirk,ulrich utz",
+    "fr": "marie manon mimi,marguerite margot,genevieve ginette,jean jeannot,henri riquet,louis loulou,francois fanchon,jeanne nanette,pierre pierrot,madeleine madelon,charles charlot",
+    "es": "jose pepe,josefa pepa,francisco paco pancho curro,ignacio nacho,dolores lola,concepcion concha,enrique quique,ramon moncho,rosario charo,mercedes merche,joaquin quino,jesus chucho,guillermo memo,eduardo lalo,maria maruja,rafael fito,consuelo chelo,isabel chabela,luz lucha",
+    "it": "giovanni gianni nino,giuseppe beppe peppino,luigi gigi,francesco cecco,lorenzo renzo,caterina rina,filippo pippo,domenico mimmo",
+    "ru": "alexander sasha shura,ivan vanya,mikhail misha,nikolai kolya,maria masha,dmitri mitya,alexei alyosha,pyotr petya,grigori grisha,lev lyova,ekaterina katya,vladimir volodya,sergei seryozha,anna anya,pavel pasha,evgeni zhenya,natalia natasha,daria dasha",
+}
+#: Endings of short forms, each language's.
+ENDINGS = "y ie i ey e ee o a s sy sie us is chen lein el le li in ine ita ito illo illa ico ica ina ino etta etto ette et ot on ou ka ya"
 # Traditional signs and their simplified forms, for names.
 TRADITIONAL = (
     "孫孙 張张 陳陈 劉刘 楊杨 趙赵 黃黄 吳吴 鄭郑 馮冯 鄧邓 許许 蕭萧 葉叶 蘇苏 羅罗 韓韩 謝谢 顧顾 莊庄 龍龙 鳳凤 書书 詞词 遠远 濤涛 橋桥 硯砚 瀾澜 綺绮 澗涧 嶺岭 蓮莲 蘭兰 煙烟 雲云 鐘钟 鍾钟 錦锦 燈灯 曉晓 葦苇 靜静 麥麦 鴻鸿 鶴鹤 鈴铃 "
@@ -142,9 +67,10 @@ _NOBODY = frozenset(NOBODY.split(";"))
 _ORG = {short: word for word, shorts in ORG.items() for short in [word, *shorts.split()]}
 _ORG_DROPPED = frozenset(ORG_DROPPED.split())
 _ROOTS: dict[str, set[str]] = {}
-for _line in NICKNAMES.split("\n"):
-    for _name in _line.split():
+for _line in ",".join(IRREGULAR.values()).split(","):
+    for _name in _line.split()[1:]:
         _ROOTS.setdefault(_name, set()).add(_line.split()[0])
+_ENDINGS = sorted(ENDINGS.split(), key=len, reverse=True)
 _SIMPLE = str.maketrans({p[0]: p[1] for p in TRADITIONAL.split() if len(p) == 2})
 _HAN = re.compile("[㐀-鿿豈-﫿]")
 _DATES = re.compile(r",?\s*\(?\s*(?:b\.|d\.|fl\.|c\.|ca\.)?\s*\d{3,4}\s*\??\s*(?:[-–—]\s*(?:\d{2,4}\??)?)?\s*\)?\s*$")
@@ -169,6 +95,7 @@ class Reading(dict):
     """kind (person, han, org, epithet, nobody), given, middle, surname, sex, flip."""
 
 
+@functools.lru_cache(maxsize=65536)
 def read_name(raw: str | None) -> Reading:
     """What a spelling says, apart from how it is written."""
     nothing = Reading(kind="nobody", given="", middle="", surname="", sex="", flip=False)
@@ -222,80 +149,160 @@ def read_name(raw: str | None) -> Reading:
 
 
 def roots(given: str) -> list[str]:
-    return sorted(_ROOTS.get(given, set()) | {given}) if given else []
+    """The name itself and the names that it, or its stem, is an irregular short form of."""
+    return sorted({given}.union(*(_ROOTS.get(s, ()) for s in (given, *stems(given))))) if given else []
 
 
-def _deletes(word: str) -> list[str]:
-    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}) if len(word) >= 4 else [word]
+def plain(given: str) -> str:
+    """Short forms write th as t and c as ck."""
+    return given.replace("th", "t").replace("ck", "c")
+
+
+@functools.lru_cache(maxsize=65536)
+def stems(given: str) -> tuple[str, ...]:
+    """What a name would have in common with the longer one it is short for: itself, and itself without an ending, of three letters or more, or two of a name of three."""
+    if len(given) < 3 or not given.isalpha():
+        return ()
+    given = plain(given)
+    out = {given} if len(given) <= 6 else set()
+    for ending in _ENDINGS:
+        stem = given[: -len(ending)]
+        if given.endswith(ending) and len(stem) >= (2 if len(given) == 3 else 3):
+            out.add(stem)
+            if stem[-1] == stem[-2] and len(stem) > 3:
+                out.add(stem[:-1])
+    return tuple(sorted(out))
+
+
+def _contracted(given: str) -> bool:
+    """Whether a name may be a contraction, such as Wm, Chas or Robt, or the first two letters of one."""
+    vowels = sum(c in "aeiouy" for c in given)
+    return len(given) in (2, 3) or 3 < len(given) <= 5 and given.isalpha() and vowels <= 1 and given[-1] not in "aeiouy"
+
 
+def _parts(given: str) -> set[str]:
+    return {plain(given)[i : i + 3] for i in range(len(plain(given)) - 2)}
 
-def _initials(given: str) -> list[str]:
-    marks = {r[:1] for r in roots(given)} | ({given[1:2]} if len(given) > 3 else set())
-    return sorted(marks) or ["*"]
 
+def _heads(given: str) -> set[str]:
+    return {s[:3] for s in stems(given) if len(s) > 2}
 
-def blocks(kind: str, given: str, middle: str, surname: str) -> list[str]:
-    """Keys two spellings of one name share: a surname less one letter, with a beginning of the given name.
 
-    A surname common to a third of all spellings is split by the beginnings.
-    Single names and epithets meet only their like.
+def _deletes(word: str) -> list[str]:
+    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}) if len(word) >= 4 else [word]
+
+
+def blocks(kind: str, given: str, middle: str, surname: str) -> list[tuple[int, int, str]]:
+    """``(gives, takes, key)``: two spellings of one name share a key that one gives and the other takes (bits of sides).
+
+    A surname common to a third of all spellings is never a key by itself: it
+    stands with the given name, with one letter less of it, with a part of three
+    letters of it, or with an initial, which only those written with initials
+    meet.  Single names and epithets meet only their like.
     """
     if kind == "org":
-        return [f"org|{middle}|{d}" for d in _deletes(surname)]
-    if kind == "person" and given:
-        return [f"p|{d}|{i}" for d in _deletes(surname) for i in _initials(given)]
-    if kind in ("person", "epithet"):
-        return [f"{kind}|{d}" for d in _deletes(surname)]
-    return []
+        return [(1, 1, f"o|{middle}|{d}") for d in _deletes(surname)]
+    if kind in ("person", "epithet") and not (kind == "person" and given):
+        return [(1, 1, f"{kind}|{d}") for d in _deletes(surname)]
+    if kind != "person":
+        return []
+    near = _deletes(surname)
+    if len(given) == 1:
+        return [(1, 3, f"i|{d}|{given}") for d in near]
+    out = [(1, 1, f"e|{d}|{r}") for d in near for r in roots(given)]
+    out += [(1, 1, f"t|{surname}|{g}") for g in _deletes(given)] if len(given) >= 4 else []
+    out += [(2, 1, f"i|{d}|{i}") for d in near for i in sorted({r[:1] for r in roots(given)})]
+    parts, heads = _parts(given), _heads(given)
+    out += [(2 * (p in heads) | 1 * (p in parts), 2 * (p in parts) | 1 * (p in heads), f"n|{surname}|{p}") for p in sorted(parts | heads)]
+    short, long = _contracted(given), len(given) >= 4
+    if short or long:
+        out.append((short | 2 * long, 2 * short | long, f"c|{surname}|{given[0]}"))
+    return out
+
+
+#: What an edit may be: two letters changed over, a doubled letter, one left out or put in, one for another.
+EDITS = ("swap", "double", "gap", "other")
+
+
+def _edit(a: Column, b: Column) -> Column:
+    """Which of ``EDITS`` leads from one word to the other, where one does; never of short words."""
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    apart = F.levenshtein(a, b, 2)
+    once = lambda c: F.regexp_replace(c, r"(.)\1", "$1")
+    kind = (
+        F.when((apart == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)), "swap")
+        .when((apart == 1) & (F.length(a) == F.length(b)), "other")
+        .when((apart == 1) & (once(a) == once(b)), "double")
+        .when(apart == 1, "gap")
+    )
+    return F.when(F.least(F.length(a), F.length(b)) >= 4, kind)
 
 
 def _near(a: Column, b: Column) -> Column:
-    """One letter more, less or other, or two neighbours changed over; never of short words."""
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    swap = (F.levenshtein(a, b) == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b))
-    return (F.least(F.length(a), F.length(b)) >= 4) & ((F.levenshtein(a, b) == 1) | swap)
+    return _edit(a, b).isNotNull()
 
 
-# Log-likelihoods of what a writer does to a name.
+# Log-likelihoods of what a writer does to a name.  That of a typo is shared out between
+# the kinds of edit as the names themselves show them.
 TYPO, NICK, INITIAL, DROPPED = -4.0, -1.5, -1.0, -0.5
 
 
+def edit_scores(edits: DataFrame) -> DataFrame:
+    """One row: the log-likelihood of each kind of edit, learned from ``edit`` of pairs that differ in nothing else.
+
+    Each kind's share, with ten even pairs added, over an even share; a map of
+    ``EDITS`` whatever the input, so it may be joined to every row.
+    """
+    counts = edits.agg(*(F.count_if(F.col("edit") == e).alias(e) for e in EDITS))
+    all_ = sum((F.col(e) for e in EDITS), F.lit(10.0))
+    score = lambda e: F.lit(TYPO) + F.greatest(F.lit(-1.5), F.least(F.lit(0.5), F.log((F.col(e) + 2.5) * len(EDITS) / all_)))
+    return counts.select(F.create_map(*(x for e in EDITS for x in (F.lit(e), score(e)))).alias("edits"))
+
+
 def _middle_score(a: Column, b: Column) -> Column:
     short = (F.length(a) == 1) | (F.length(b) == 1)
     one = F.substring(a, 1, 1) == F.substring(b, 1, 1)
     return F.when(a == b, 0.0).when((a == "") | (b == ""), DROPPED).when(short & one, DROPPED).when(one & F.least(F.length(a), F.length(b)).between(1, 99) & (F.contains(a, F.lit(" ")) | F.contains(b, F.lit(" "))), 2 * DROPPED).when(_near(a, b), TYPO)
 
 
-def _given_score(a: Column, b: Column, ra: Column, rb: Column) -> Column:
-    one = (F.length(a) == 1) | (F.length(b) == 1)
-    return F.when(a == b, 0.0).when(one & F.exists(F.transform(F.concat(ra, rb), lambda x: F.substring(x, 1, 1)), lambda x: F.when(F.length(a) == 1, x == a).otherwise(x == b)), INITIAL).when(F.arrays_overlap(ra, rb), NICK).when(_near(a, b), TYPO)
+def _short_for(a: Column, b: Column, sa: Column, sb: Column) -> Column:
+    """Whether one name is short for the other by rule: a part of it, what is before an ending and within the other, two letters, or a contraction."""
+    said = lambda name: F.replace(F.replace(name, F.lit("th"), F.lit("t")), F.lit("ck"), F.lit("c"))
+    part = lambda long, short, stems_: F.exists(stems_, lambda s: F.when(F.length(s) < 3, F.startswith(long, s)).when(s == said(short), said(long).contains(s)).otherwise(F.left(said(long), F.length(said(long)) - 1).contains(s)))
+    few = lambda short: (F.length(short) <= 5) & (F.length(F.regexp_replace(short, "[^aeiouy]", "")) <= 1) & ~short.rlike("[aeiouy]$")
+    contracted = lambda long, short: F.when((F.length(short) == 2) & F.startswith(long, short), True).when(few(short) & (F.length(long) >= F.length(short) + 2), F.rlike(long, F.concat(F.lit("^"), F.array_join(F.split(short, ""), ".*")))).otherwise(False)
+    longer = lambda long, short, stems_: (F.length(long) >= F.length(short)) & (F.length(short) > 1) & (part(long, short, stems_) | contracted(long, short))
+    return longer(a, b, sb) | longer(b, a, sa)
 
 
 _READING = "kind string, given string, middle string, surname string, sex string"
+def _spread_out(df: DataFrame) -> DataFrame:
+    """Rows for a Python step over as many tasks as a shuffle has: they are few bytes but much work, and would be joined into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+_KEYS = "array<struct<gives:int,takes:int,key:string>>"
 
 
-def _read_rows(df: DataFrame, raw: str) -> DataFrame:
-    """``raw`` and its readings: reading 0, and 1 with given name and surname changed over where no sign tells them apart."""
+def _read_rows(df: DataFrame, raw: str, weight: str) -> DataFrame:
+    """``raw``, its weight and its readings: reading 0, and 1 with given name and surname changed over where no sign tells them apart."""
+    names = ["raw", "weight", "reading", "ways", "kind", "given", "middle", "surname", "sex"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for text in frame["raw"]:
+            for text, many in zip(frame["raw"], frame["weight"]):
                 r = read_name(text)
-                rows.append((text, 0, r["kind"], r["given"], r["middle"], r["surname"], r["sex"]))
+                if r["kind"] == "nobody":
+                    continue
                 rest = [*r["middle"].split(), r["surname"]]
-                if r["flip"] and len(rest[0]) > 1:
-                    rows.append((text, 1, r["kind"], rest[0], " ".join(rest[1:]), r["given"], r["sex"]))
-            yield pd.DataFrame(rows, columns=["raw", "reading", "kind", "given", "middle", "surname", "sex"])
+                two = bool(r["flip"] and len(rest[0]) > 1)
+                rows.append((text, many, 0, int(two), r["kind"], r["given"], r["middle"], r["surname"], r["sex"]))
+                if two:
+                    rows.append((text, many, 1, 1, r["kind"], rest[0], " ".join(rest[1:]), r["given"], r["sex"]))
+            yield pd.DataFrame(rows, columns=names)
 
-    return df.select(F.col(raw).alias("raw")).mapInPandas(run, f"raw string, reading int, {_READING}")
-
-
-def _with_blocks(df: DataFrame) -> DataFrame:
-    make = functools.partial(map, blocks)
-    block_udf = F.pandas_udf(lambda k, g, m, s: pd.Series(list(make(k, g, m, s))), "array<string>")
-    root_udf = F.pandas_udf(lambda g: g.map(roots), "array<string>")
-    return df.withColumn("roots", root_udf("given")).withColumn("blocks", block_udf("kind", "given", "middle", "surname"))
+    return df.select(F.col(raw).alias("raw"), F.col(weight).alias("weight")).mapInPandas(run, f"raw string, weight bigint, reading int, ways int, {_READING}")
 
 
 def name_keys(spellings: DataFrame) -> DataFrame:
@@ -304,18 +311,45 @@ def name_keys(spellings: DataFrame) -> DataFrame:
     Where a spelling can be read two ways round, the way whose parts other
     spellings use more often as given name and as surname is taken.
     """
-    read = _read_rows(spellings, "spelling").filter("kind <> 'nobody'")
-    sure = read.groupBy("raw").agg(F.max("reading").alias("ways"))
-    read = read.join(sure, "raw")
-    votes = read.filter("kind = 'person' and reading = 0").withColumn("trust", F.when(F.col("ways") == 0, 3.0).otherwise(1.0))
-    as_given = votes.groupBy("given").agg(F.sum("trust").alias("given_votes"))
-    as_surname = votes.groupBy("surname").agg(F.sum("trust").alias("surname_votes"))
-    scored = read.join(as_given, "given", "left").join(as_surname, "surname", "left").fillna(0.0, ["given_votes", "surname_votes"])
-    own = F.when((F.col("reading") == 0) & (F.col("ways") == 1), 1.0).otherwise(0.0)
-    score = F.log1p(F.col("given_votes") - own) + F.log1p(F.col("surname_votes") - own) - F.col("reading") * 0.5
-    best = scored.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("score"), "reading"))).filter("rank = 1")
+    read = cut(_read_rows(_spread_out(spellings), "spelling", "weight"))
+    trust = F.when(F.col("ways") == 0, 3.0).otherwise(1.0)
+    parts = F.array(F.struct(F.lit("g").alias("part"), F.col("given").alias("word")), F.struct(F.lit("s").alias("part"), F.col("surname").alias("word")))
+    votes = read.filter("kind = 'person' and reading = 0").select(trust.alias("trust"), F.inline(parts)).groupBy("part", "word").agg(F.sum("trust").alias("votes"))
+    doubtful = read.filter("ways = 1").select("raw", "reading", F.inline(parts)).join(votes, ["part", "word"], "left")
+    own = F.when(F.col("reading") == 0, 1.0).otherwise(0.0)
+    score = doubtful.groupBy("raw", "reading").agg((F.sum(F.log1p(F.coalesce("votes", F.lit(0.0)) - own)) - F.first("reading") * 0.5).alias("score"))
+    chosen = score.groupBy("raw").agg(F.max_by("reading", F.struct(F.round("score", 9), -F.col("reading"))).alias("chosen"))
+    best = read.join(chosen, "raw", "left").filter("ways = 0 or reading = chosen")
     key = F.concat_ws("|", "kind", "given", "middle", "surname")
-    return best.select(F.col("raw").alias("spelling"), "kind", "given", "middle", "surname", "sex", key.alias("key")).join(spellings, "spelling")
+    return best.select(F.col("raw").alias("spelling"), "weight", "kind", "given", "middle", "surname", "sex", key.alias("key"))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """Forms with what their given name may be short for, and the keys of ``blocks``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["roots"] = [roots(g) for g in frame["given"]]
+            frame["stems"] = [list(stems(g)) for g in frame["given"]]
+            frame["blocks"] = [blocks(*row) for row in zip(frame["kind"], frame["given"], frame["middle"], frame["surname"])]
+            yield frame
+
+    return df.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + f", roots array<string>, stems array<string>, blocks {_KEYS}")
+
+
+def _meeting(forms: DataFrame, carried: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Pairs ``a``, ``b`` of forms (``id`` and ``carried``) that share a key one gives and the other takes, ``a.id`` < ``b.id``.
+
+    The two bits are the two sides of a key: a form only given on one side meets
+    those taken there, so the many full names beside an initial don't meet each
+    other by it.  A pair that shares several keys comes several times.
+    """
+    rows = forms.select(*within, F.struct("id", *carried).alias("it"), F.inline("blocks"))
+    giving = rows.filter("gives > 0").select(*within, "key", "gives", F.col("it").alias("a"))
+    taking = rows.filter("takes > 0").select(*within, "key", "takes", F.col("it").alias("b"))
+    both = giving.join(taking, [*within, "key"]).filter("(gives & takes) > 0 and a.id <> b.id")
+    first = F.col("a.id") < F.col("b.id")
+    return both.select(*within, F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
 
 
 def attach(keys: DataFrame) -> DataFrame:
@@ -332,41 +366,49 @@ def attach(keys: DataFrame) -> DataFrame:
     rich = keys.join(given_fame, "given", "left").join(surname_fame, "surname", "left").fillna(1, ["given_fame", "surname_fame", "surname_weight"])
     full = F.when((F.col("kind") != "person") | (F.length("given") > 1), 1).otherwise(0)
     prior = F.log("weight") + 0.5 * F.log1p("given_fame") + 0.5 * F.log1p("surname_weight")
-    forms = _with_blocks(rich).withColumns({"full": full, "prior": prior})
-    blocked = forms.select("key", F.explode("blocks").alias("block"))
-    pairs = blocked.join(blocked.select("block", F.col("key").alias("other")), "block").filter("key < other").select("key", "other").distinct()
-    kept = ["kind", "given", "middle", "surname", "roots"]
-    side = lambda p, name: forms.select(F.col("key").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in kept))
-    both = pairs.join(side("a", "key"), "key").join(side("b", "other"), "other").filter("a_kind = b_kind")
-    a, b = (lambda k: F.col(f"a_{k}")), (lambda k: F.col(f"b_{k}"))
+    forms = cut(_keyed(_spread_out(rich.select("key", "kind", "given", "middle", "surname", "given_fame", "surname_fame", "surname_weight", full.alias("full"), prior.alias("prior")))).withColumnRenamed("key", "id"))
+    both = _meeting(forms, ["kind", "given", "middle", "surname", "roots", "stems", "given_fame", "surname_fame", "surname_weight", "full", "prior"]).filter("a.kind = b.kind")
+    a, b = (lambda k: F.col(f"a.{k}")), (lambda k: F.col(f"b.{k}"))
     org = a("kind") == "org"
-    surname = F.when(a("surname") == b("surname"), 0.0).when(_near(a("surname"), b("surname")), TYPO)
-    given = F.when(org, 0.0).otherwise(_given_score(a("given"), b("given"), a("roots"), b("roots")))
+    surname = F.when(a("surname") == b("surname"), "").otherwise(_edit(a("surname"), b("surname")))
+    one = (F.length(a("given")) == 1) | (F.length(b("given")) == 1)
+    initial = one & F.exists(F.concat(a("roots"), b("roots")), lambda x: F.substring(x, 1, 1) == F.when(F.length(a("given")) == 1, a("given")).otherwise(b("given")))
+    short = F.arrays_overlap(a("roots"), b("roots"))
+    given = F.when(org | (a("given") == b("given")), 0.0).when(initial, INITIAL).when(short, NICK)
+    given_edit = F.when(given.isNull() & ~one, _edit(a("given"), b("given")))
+    irregular = (F.size(a("roots")) > 1) | (F.size(b("roots")) > 1)
+    by_rule = F.when(given.isNull() & ~one & ~irregular & given_edit.isNull() & _short_for(a("given"), b("given"), a("stems"), b("stems")), NICK + DROPPED)
     middle = F.when(org, F.when(a("middle") == b("middle"), 0.0)).otherwise(_middle_score(a("middle"), b("middle")))
-    scored = both.select("key", "other", surname.alias("surname_s"), given.alias("given_s"), (surname + given + middle).alias("likelihood"))
-    edges = cut(scored.filter(F.col("likelihood").isNotNull() & (F.col("likelihood") > 2.5 * TYPO)))
-    ways = edges.unionByName(edges.select(F.col("other").alias("key"), F.col("key").alias("other"), "surname_s", "given_s", "likelihood"))
-    degrees = ways.groupBy("key").agg(F.count("*").alias("degree"))
-    ranked = forms.join(degrees, "key").withColumn("prior", F.round(F.col("prior") + F.log1p("degree"), 6)).select("key", "given_fame", "surname_fame", "surname_weight", "prior", F.struct("full", F.col("prior").alias("prior"), "key").alias("order"))
-    end = lambda p, name: ranked.select(F.col("key").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in ("given_fame", "surname_fame", "surname_weight", "prior", "order")))
-    up = ways.withColumnRenamed("other", "parent").join(end("v", "key"), "key").join(end("c", "parent"), "parent").filter("c_order > v_order")
-    known_given = (F.col("v_given_fame") >= 3) & (F.col("v_given_fame") >= 0.05 * F.col("c_given_fame"))
+    end = lambda s: F.struct(*(s(k).alias(k) for k in ("id", "prior", "full", "given_fame", "surname_fame", "surname_weight")))
+    judged = both.select(a("id").alias("a_id"), b("id").alias("b_id"), end(a).alias("low"), end(b).alias("high"), surname.alias("surname_edit"), given_edit.alias("given_edit"), F.coalesce(given, by_rule).alias("given_s"), middle.alias("middle_s"))
+    edges = cut(judged.filter("surname_edit is not null and middle_s is not null and (given_s is not null or given_edit is not null)").dropDuplicates(["a_id", "b_id"]))
+    learned = edit_scores(edges.filter("surname_edit <> '' and given_s = 0 and middle_s = 0").select(F.col("surname_edit").alias("edit")))
+    edit = lambda e: F.coalesce(F.when(F.col(e) == "", 0.0), F.element_at("edits", F.col(e)))
+    likelihood = edit("surname_edit") + F.coalesce("given_s", edit("given_edit")) + F.col("middle_s")
+    scored = edges.crossJoin(F.broadcast(learned)).select("low", "high", (F.col("surname_edit") != "").alias("other_surname"), F.col("given_s").isNull().alias("other_given"), likelihood.alias("likelihood")).filter(F.col("likelihood") > 2.5 * TYPO)
+    ways = scored.select(F.col("low").alias("v"), F.col("high").alias("c"), "other_surname", "other_given", "likelihood").unionByName(scored.select(F.col("high").alias("v"), F.col("low").alias("c"), "other_surname", "other_given", "likelihood"))
+    degrees = ways.groupBy(F.col("v.id").alias("id")).agg(F.count("*").alias("degree"))
+    order = lambda s, d: F.struct(F.col(f"{s}.full").alias("full"), F.round(F.col(f"{s}.prior") + F.log1p(d), 6).alias("prior"), F.col(f"{s}.id").alias("id"))
+    up = ways.join(degrees.select(F.col("id").alias("v_id"), F.col("degree").alias("v_degree")), F.col("v.id") == F.col("v_id")).join(degrees.select(F.col("id").alias("c_id"), F.col("degree").alias("c_degree")), F.col("c.id") == F.col("c_id"))
+    up = up.withColumns({"v_order": order("v", "v_degree"), "c_order": order("c", "c_degree")}).filter("c_order > v_order")
+    known_given = (F.col("v.given_fame") >= 3) & (F.col("v.given_fame") >= 0.05 * F.col("c.given_fame"))
     # initials soon reach all letters there are, so that surnames are compared by their use
-    known_surname = (F.col("v_surname_fame") >= 3) & (F.col("v_surname_weight") >= 0.2 * F.col("c_surname_weight"))
-    likely = up.filter(~((F.col("given_s") == TYPO) & known_given) & ~((F.col("surname_s") == TYPO) & known_surname))
-    best = Window.partitionBy("key").orderBy(F.desc(F.col("likelihood") + F.col("c_prior")), F.desc("c_order"))
-    return likely.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("key", "parent")
+    known_surname = (F.col("v.surname_fame") >= 3) & (F.col("v.surname_weight") >= 0.2 * F.col("c.surname_weight"))
+    likely = up.filter(~(F.col("other_given") & known_given) & ~(F.col("other_surname") & known_surname))
+    return likely.groupBy(F.col("v_id").alias("key")).agg(F.max_by("c_id", F.struct(F.col("likelihood") + F.col("c_order.prior"), "c_order")).alias("parent"))
 
 
 def to_roots(parents: DataFrame, child: str = "key", parent: str = "parent") -> DataFrame:
-    """Follow parents to the end by doubling; parents always rank higher, so there is one."""
+    """Follow parents to the end by doubling, two steps a pass; parents always rank higher, so there is one."""
     now = cut(parents.select(child, parent))
     while True:
-        step = now.select(F.col(child).alias("__via"), F.col(parent).alias("__next"))
-        joined = cut(now.join(step, F.col(parent) == F.col("__via"), "left").select(child, F.coalesce("__next", parent).alias(parent), F.col("__next").isNotNull().alias("moved")))
-        if joined.filter("moved").isEmpty():
-            return joined.select(child, parent)
-        now = joined.select(child, parent)
+        step = lambda name: now.select(F.col(child).alias(f"__via{name}"), F.col(parent).alias(f"__next{name}"))
+        once = now.join(step(1), F.col(parent) == F.col("__via1"), "left")
+        twice = once.join(step(2), F.col("__next1") == F.col("__via2"), "left")
+        now = cut(twice.select(child, F.coalesce("__next2", "__next1", parent).alias(parent), F.col("__next2").isNotNull().alias("moved")))
+        if now.filter("moved").isEmpty():
+            return now.select(child, parent)
+        now = now.select(child, parent)
 
 
 def link_authors(df: DataFrame, key: str = "book_id", name: str = "author") -> DataFrame:
@@ -435,7 +477,25 @@ def _close(a: str, b: str) -> bool:
     return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
-_FORM = "han string, surnames array<string>, givens array<string>, given_roots array<string>, title_sex string, epithets array<string>, blocks array<string>"
+_FORM = f"han string, surnames array<string>, givens array<string>, given_roots array<string>, given_stems array<string>, title_sex string, epithets array<string>, blocks {_KEYS}"
+
+
+def _character_blocks(han: str, surnames: list[str], givens: list[str], epithets: list[str]) -> list[tuple[int, int, str]]:
+    """``(gives, takes, key)`` as in ``blocks``: whole names meet by both their parts, and those with a part missing by the other or by an epithet."""
+    if han:
+        return [(1, 1, f"h|{han}")]
+    whole = bool(surnames and givens)
+    sides = (2, 1) if whole else (1, 3)
+    out = {(1, 1, f"e|{d}|{r}") for s in surnames for d in _deletes(s) for g in givens for r in roots(g)} if whole else set()
+    out |= {key for s in surnames for g in givens for key in blocks("person", g, "", s) if key[2][:2] != "e|"}
+    if whole or not givens:
+        out |= {(*sides, f"s|{d}") for s in surnames for d in _deletes(s)}
+    if whole or not surnames:
+        out |= {(*sides, f"g|{r}") for g in givens for r in roots(g)}
+        short, long = ((2, 1), (2, 1)) if whole else ((1, 2), (1, 2))
+        out |= {(*short, f"{'q' if whole else 'p'}|{h}") for g in givens for h in _heads(g)}
+        out |= {(*long, f"{'p' if whole else 'q'}|{x}") for g in givens for x in _parts(g)}
+    return sorted(out | {(*sides, f"x|{e}") for e in epithets})
 
 
 def _character_forms(df: DataFrame) -> DataFrame:
@@ -447,30 +507,20 @@ def _character_forms(df: DataFrame) -> DataFrame:
             for canonical, aliases in zip(frame["canonical"], frame["aliases"]):
                 r = read_character(canonical, aliases)
                 han = (r["han"] or [""])[0]
-                if han:
-                    keys = [f"h|{han}"]
-                else:
-                    keys = [f"s|{d}" for s in r["surnames"] for d in _deletes(s)]
-                    if not r["surnames"]:
-                        keys += [f"g|{root}" for g in r["givens"] for root in roots(g)]
-                        keys += [f"e|{e}" for e in r["epithets"]]
-                    else:
-                        keys += [f"g|{root}" for g in r["givens"] if len(g) > 1 for root in roots(g)] + [f"e|{e}" for e in r["epithets"]]
-                out.append((han, r["surnames"], r["givens"], sorted({x for g in r["givens"] for x in roots(g)}), r["sex"], r["epithets"], sorted(set(keys))))
-            more = pd.DataFrame(out, columns=["han", "surnames", "givens", "given_roots", "title_sex", "epithets", "blocks"])
+                out.append((han, r["surnames"], r["givens"], sorted({x for g in r["givens"] for x in roots(g)}), sorted({x for g in r["givens"] for x in stems(g)}), r["sex"], r["epithets"], _character_blocks(han, r["surnames"], r["givens"], r["epithets"])))
+            more = pd.DataFrame(out, columns=["han", "surnames", "givens", "given_roots", "given_stems", "title_sex", "epithets", "blocks"])
             yield pd.concat([frame.reset_index(drop=True), more], axis=1)
 
-    schema = f"form bigint, source_id string, canonical string, aliases array<string>, told_sex string, weight bigint, {_FORM}"
+    schema = f"id bigint, source_id string, canonical string, aliases array<string>, told_sex string, weight bigint, {_FORM}"
     return df.mapInPandas(run, schema)
 
 
-def _best_match(a: Column, b: Column, near_score: float, ra: Column | None = None, rb: Column | None = None) -> Column:
-    near = F.exists(a, lambda x: F.exists(b, lambda y: _near(x, y)))
-    score = F.when(F.arrays_overlap(a, b), 0.0)
-    if ra is not None:
-        initial = F.exists(a, lambda x: F.exists(rb, lambda y: (F.length(x) == 1) & (F.substring(y, 1, 1) == x))) | F.exists(b, lambda x: F.exists(ra, lambda y: (F.length(x) == 1) & (F.substring(y, 1, 1) == x)))
-        score = score.when(F.arrays_overlap(ra, rb), NICK).when(initial, INITIAL)
-    return score.when(near, near_score)
+def _any(a: Column, b: Column, test) -> Column:
+    return F.exists(a, lambda x: F.exists(b, lambda y: test(x, y)))
+
+
+def _initial_of(a: Column, b: Column) -> Column:
+    return (F.length(a) == 1) & (F.substring(b, 1, 1) == a)
 
 
 def link_characters(df: DataFrame) -> DataFrame:
@@ -492,40 +542,41 @@ def link_characters(df: DataFrame) -> DataFrame:
     told = F.when(sex.isin("m", "f"), sex).otherwise("")
     rows = df.filter("canonical is not null and source_id is not null and character_id is not null").select("source_id", F.col("character_id").alias("id"), "build", "canonical", F.coalesce(F.array_sort(F.array_distinct(F.filter("aliases", lambda a: a.isNotNull()))), F.array()).cast("array<string>").alias("aliases"), told.alias("told_sex"), F.coalesce(F.trim("persona_of"), F.lit("")).alias("mask")).distinct()
     personas = rows.filter("mask <> ''").select("id", "source_id", F.col("canonical").alias("spelling"), F.concat(F.lit("persona|"), F.lower(F.trim("canonical"))).alias("entity"))
-    plain = rows.filter("mask = ''").withColumn("form", F.xxhash64("source_id", "canonical", F.to_json("aliases"), "told_sex"))
-    plain = cut(plain.select("form", "source_id", "id", "build", "canonical", "aliases", "told_sex"))
-    grouped = plain.groupBy("form", "source_id", "canonical", "aliases", "told_sex").agg(F.count("*").alias("weight"))
+    plain_rows = rows.filter("mask = ''").withColumn("form", F.xxhash64("source_id", "canonical", F.to_json("aliases"), "told_sex"))
+    plain_rows = cut(plain_rows.select("form", "source_id", "id", "build", "canonical", "aliases", "told_sex"))
+    grouped = plain_rows.groupBy(F.col("form").alias("id"), "source_id", "canonical", "aliases", "told_sex").agg(F.count("*").alias("weight"))
     # how often the canonical is used as it stands, over all alias lists
-    fame = plain.groupBy("source_id", F.lower(F.trim("canonical")).alias("low")).agg(F.count("*").alias("fame"))
-    forms = cut(_character_forms(grouped).withColumn("low", F.lower(F.trim("canonical"))).join(fame, ["source_id", "low"]).drop("low", "canonical", "aliases"))
+    fame = plain_rows.groupBy("source_id", F.lower(F.trim("canonical")).alias("low")).agg(F.count("*").alias("fame"))
+    forms = cut(_character_forms(_spread_out(grouped)).withColumn("low", F.lower(F.trim("canonical"))).join(fame, ["source_id", "low"]).drop("low", "canonical", "aliases"))
     spelled = (F.size("givens") > 0).cast("int") + (F.size("surnames") > 0).cast("int")
     clean = F.when(F.col("title_sex") == "", 0.5).otherwise(0.0)
     forms = forms.withColumn("told", F.least(spelled, F.lit(2))).withColumn("prior", F.log("fame") + clean)
-    blocked = forms.select("source_id", "form", F.explode("blocks").alias("block"))
-    pairs = blocked.join(blocked.select("source_id", "block", F.col("form").alias("other")), ["source_id", "block"]).filter("form < other").select("form", "other").distinct()
-    kept = ["han", "surnames", "givens", "given_roots", "title_sex", "told_sex", "epithets"]
-    side = lambda p, name: forms.select(F.col("form").alias(name), *(F.col(k).alias(f"{p}_{k}") for k in kept))
-    both = pairs.join(side("v", "form"), "form").join(side("c", "other"), "other")
-    v, c = (lambda k: F.col(f"v_{k}")), (lambda k: F.col(f"c_{k}"))
+    both = _meeting(forms, ["han", "surnames", "givens", "given_roots", "given_stems", "title_sex", "told_sex", "epithets", "told", "prior", "weight"], ["source_id"])
+    v, c = (lambda k: F.col(f"a.{k}")), (lambda k: F.col(f"b.{k}"))
     none = lambda col: F.size(col) == 0
-    surname = F.when(none(v("surnames")) | none(c("surnames")), -2.0).otherwise(_best_match(v("surnames"), c("surnames"), TYPO / 2))
-    given = F.when(none(v("givens")) | none(c("givens")), -3.0).otherwise(_best_match(v("givens"), c("givens"), TYPO / 2, v("given_roots"), c("given_roots")))
-    shared = F.when(F.arrays_overlap(v("epithets"), c("epithets")), 2.5).when(~none(v("epithets")) & ~none(c("epithets")), -1.0).otherwise(0.0)
+    surname = F.when(none(v("surnames")) | none(c("surnames")), -2.0).when(F.arrays_overlap(v("surnames"), c("surnames")), 0.0).when(_any(v("surnames"), c("surnames"), _near), TYPO / 2)
+    by_initial = _any(v("givens"), c("given_roots"), _initial_of) | _any(c("givens"), v("given_roots"), _initial_of)
     v_sex, c_sex = (F.when(col("title_sex") != "", col("title_sex")).otherwise(col("told_sex")) for col in (v, c))
+    apart = (v_sex != "") & (c_sex != "") & (v_sex != c_sex)
+    irregular = (F.size(v("given_roots")) > F.size(v("givens"))) | (F.size(c("given_roots")) > F.size(c("givens")))
+    by_rule = ~irregular & ~apart & _any(v("givens"), c("givens"), lambda x, y: _short_for(x, y, v("given_stems"), c("given_stems")))
+    given = F.when(none(v("givens")) | none(c("givens")), -3.0).when(F.arrays_overlap(v("givens"), c("givens")), 0.0).when(F.arrays_overlap(v("given_roots"), c("given_roots")), NICK).when(by_initial, INITIAL).when(_any(v("givens"), c("givens"), _near), TYPO / 2).when(by_rule, NICK + DROPPED)
+    shared = F.when(F.arrays_overlap(v("epithets"), c("epithets")), 2.5).when(~none(v("epithets")) & ~none(c("epithets")), -1.0).otherwise(0.0)
     sexes = F.when((v_sex == "") | (c_sex == ""), 0.0).when(v_sex == c_sex, 0.5).otherwise(-3.0)
     nameless = lambda x: none(x("surnames")) & none(x("givens"))
     latin = F.when((nameless(v) | nameless(c)) & (shared <= 0), None).otherwise(surname + given + shared + sexes)
     likelihood = F.when((v("han") != "") | (c("han") != ""), F.when(v("han") == c("han"), 0.0)).otherwise(latin)
-    scored = both.select("form", "other", likelihood.alias("likelihood")).filter(F.col("likelihood").isNotNull() & (F.col("likelihood") > -6.5))
-    builds = plain.select("form", "source_id", "build").distinct()
-    clash = scored.select("form", "other").join(builds, "form").join(builds.select(F.col("form").alias("other"), "source_id", "build"), ["other", "source_id", "build"]).select("form", "other").distinct()
-    edges = cut(scored.join(clash, ["form", "other"], "left_anti").select("form", "other", "likelihood"))
-    ways = edges.unionByName(edges.select(F.col("other").alias("form"), F.col("form").alias("other"), "likelihood"))
-    degrees = ways.groupBy("form").agg(F.count("*").alias("degree"))
-    ranked = forms.join(degrees, "form").withColumn("prior", F.round(F.col("prior") + F.log1p("degree"), 6)).select("form", "prior", F.struct("told", F.col("prior").alias("prior"), "weight", "form").alias("order"))
-    up = ways.withColumnRenamed("other", "parent").join(ranked.select("form", F.col("order").alias("v_order")), "form").join(ranked.select(F.col("form").alias("parent"), F.col("prior").alias("c_prior"), F.col("order").alias("c_order")), "parent").filter("c_order > v_order")
-    best = Window.partitionBy("form").orderBy(F.desc(F.col("likelihood") + F.col("c_prior")), F.desc("c_order"))
-    parents = up.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("form", "parent")
+    end = lambda s: F.struct(*(s(k).alias(k) for k in ("id", "told", "prior", "weight")))
+    judged = both.select("source_id", v("id").alias("form"), c("id").alias("other"), end(v).alias("low"), end(c).alias("high"), likelihood.alias("likelihood"))
+    scored = judged.filter(F.col("likelihood").isNotNull() & (F.col("likelihood") > -6.5)).dropDuplicates(["form", "other"])
+    builds = plain_rows.groupBy("form").agg(F.collect_set("build").alias("builds"))
+    edges = cut(scored.join(builds, "form").join(builds.select(F.col("form").alias("other"), F.col("builds").alias("other_builds")), "other").filter(~F.arrays_overlap("builds", "other_builds")).select("low", "high", "likelihood"))
+    ways = edges.select(F.col("low").alias("v"), F.col("high").alias("c"), "likelihood").unionByName(edges.select(F.col("high").alias("v"), F.col("low").alias("c"), "likelihood"))
+    degrees = ways.groupBy(F.col("v.id").alias("id")).agg(F.count("*").alias("degree"))
+    order = lambda s: F.struct(F.col(f"{s}.told").alias("told"), F.round(F.col(f"{s}.prior") + F.log1p(f"{s}_degree"), 6).alias("prior"), F.col(f"{s}.weight").alias("weight"), F.col(f"{s}.id").alias("id"))
+    of = lambda s: degrees.select(F.col("id").alias(f"{s}_id"), F.col("degree").alias(f"{s}_degree"))
+    up = ways.join(of("v"), F.col("v.id") == F.col("v_id")).join(of("c"), F.col("c.id") == F.col("c_id")).withColumns({"v_order": order("v"), "c_order": order("c")}).filter("c_order > v_order")
+    parents = up.groupBy(F.col("v_id").alias("form")).agg(F.max_by("c_id", F.struct(F.col("likelihood") + F.col("c_order.prior"), "c_order")).alias("parent"))
     found = to_roots(parents, "form")
-    linked = plain.join(found, "form", "left").select("id", "source_id", F.col("canonical").alias("spelling"), F.coalesce("parent", "form").cast("string").alias("entity"))
+    linked = plain_rows.join(found, "form", "left").select("id", "source_id", F.col("canonical").alias("spelling"), F.coalesce("parent", "form").cast("string").alias("entity"))
     return linked.unionByName(personas)
