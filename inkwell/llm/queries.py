@@ -9,13 +9,19 @@ from inkwell.llm import bpe, lookalike, mixing, names, residue, sentences, split
 from inkwell.session import cut, table
 
 
-def text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sections.text and chunks.text as (item_kind, item_id, text)."""
-    of_sections = table(spark, sf_dir, "sections").select(F.lit("section").alias("item_kind"), F.col("section_id").alias("item_id"), "text")
-    of_chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text")
+def text_items(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """sections.text and chunks.text as (item_kind, item_id, text), with further columns if named."""
+    of_sections = table(spark, sf_dir, "sections").select(F.lit("section").alias("item_kind"), F.col("section_id").alias("item_id"), "text", *more)
+    of_chunks = table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text", *more)
     return of_sections.unionByName(of_chunks)
 
 
+def spoken_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text items with the language their book was last synced with."""
+    books = table(spark, sf_dir, "source_books").filter("source_id is not null and language is not null").groupBy("source_id").agg(F.max_by("language", F.struct("updated_at", "language")).alias("language"))
+    return text_items(spark, sf_dir, "source_id").join(books, "source_id", "left")
+
+
 def split_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     paragraphs = table(spark, sf_dir, "sections").select(F.lit("paragraph").alias("item_kind"), F.col("section_id").alias("item_id"), F.posexplode("paragraphs").alias("para_pos", "text"))
     whole = text_items(spark, sf_dir).withColumn("para_pos", F.lit(-1))
@@ -42,11 +48,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentences(text_items(spark, sf_dir))
+    return sentences.sentences(spoken_items(spark, sf_dir))
 
 
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentences(text_items(spark, sf_dir), with_text=True)
+    return sentences.sentences(spoken_items(spark, sf_dir), with_text=True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

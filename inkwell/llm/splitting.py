@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.sentences import _PARAGRAPH, sentence_spans
+from inkwell.llm.sentences import _PARAGRAPH, one_delivery, sentence_spans
 
 # The code points that count as Han, and the signs that join letters.
 HAN = "㐀-鿿豈-﫿\U00020000-\U0003134f"
@@ -127,7 +127,9 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
         pieces += 1
         if pieces > n:
             break
-    return best[1] if best else [(0, 0, len(text))]
+    if best is None:
+        raise ValueError("no cut keeps every piece within the limit")
+    return best[1]
 
 
 def split_items(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -139,26 +141,27 @@ def split_items(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
 
     Defined cases: null, empty, blank and short texts give nothing; a text with
     no natural boundary is cut between units; a piece never exceeds the limit;
-    repeated items give their pieces once; null keys are kept; no rows give no
-    rows; other columns are ignored.
+    an item delivered several times counts once, with its longest text; null
+    keys are kept; no rows give no rows; other columns are ignored.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be under half the limit")
-    schema = "item_kind string, item_id bigint, para_pos int, piece_no int, from_pos int, core_pos int, to_pos int, n_units int, piece string"
     keys = ["item_kind", "item_id", "para_pos"]
+    fields = {"piece_no": pa.int32(), "from_pos": pa.int32(), "core_pos": pa.int32(), "to_pos": pa.int32(), "n_units": pa.int32(), "piece": pa.string()}
+    schema = "item_kind string, item_id bigint, para_pos int, chars int, hash bigint, pieces array<struct<piece_no:int,from_pos:int,core_pos:int,to_pos:int,n_units:int,piece:string>>"
+    kept = [*keys, "chars", "hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, rows = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            offsets, rows = [0], []
+            for text in batch.column("text").to_pylist():
                 pieces = split_text(text, limit, overlap)
                 if len(pieces) > 1:
-                    owners += [i] * len(pieces)
                     rows += [(k, a, c, e, unit_count(text[a:e]), text[a:e].rstrip()) for k, (a, c, e) in enumerate(pieces)]
-            at = pa.array(owners, pa.int64())
-            types = [pa.int32()] * 5 + [pa.string()]
-            columns = [pa.array(col, t) for col, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *columns], names=[*keys, "piece_no", "from_pos", "core_pos", "to_pos", "n_units", "piece"])
+                offsets.append(len(rows))
+            columns = [pa.array(col, t) for col, t in zip(zip(*rows), fields.values())] if rows else [pa.array([], t) for t in fields.values()]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=list(fields)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), lists], names=[*kept, "pieces"])
 
-    src = df.select("item_kind", F.col("item_id").cast("bigint").alias("item_id"), F.col("para_pos").cast("int").alias("para_pos"), "text").filter(F.length("text") > limit)
-    return src.mapInArrow(run, schema).dropDuplicates([*keys, "piece_no"])
+    src = df.filter(F.length("text") > limit).select("item_kind", F.col("item_id").cast("bigint").alias("item_id"), F.col("para_pos").cast("int").alias("para_pos"), F.length("text").alias("chars"), F.xxhash64("text").alias("hash"), "text")
+    return one_delivery(src.mapInArrow(run, schema), keys, "pieces")
