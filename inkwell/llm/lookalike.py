@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import unicodedata
 from collections.abc import Sequence
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkwell.session import cut
+
 # Letters that look like a Latin letter, as pairs "other letter, Latin letter".
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԌG ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ҮY"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϲc ϳj"
@@ -60,21 +63,28 @@ def _spread(ch: str) -> str:
 _LOOKS = {pair[0]: pair[1] for words in (CYRILLIC, GREEK, OTHER, KANA, RADICALS) for pair in words.split()}
 
 
+@functools.lru_cache(maxsize=1)
+def _mapped() -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The rows of ``mapping`` and ``mark_classes``, made once a process."""
+    own = lambda i: 0xD800 <= i < 0xE000 or 0xAC00 <= i < 0xD7A4 or 0x3400 <= i < 0xA000 or 0x20000 <= i < 0x2F800 or 0x30000 <= i < 0xE0000
+    signs = [chr(i) for i in range(0x80, 0xE0200) if not own(i)]
+    parts = [(c, to) for c in signs if (to := _spread(c)) != c] + [(c, " ") for c in "\t\n\v\f\r"]
+    marks = [(c, n) for c in signs if (n := unicodedata.combining(c))]
+    return pd.DataFrame(parts, columns=["ch", "parts"]), pd.DataFrame(marks, columns=["part", "class"])
+
+
 def mapping(spark: SparkSession) -> DataFrame:
     """``ch`` to its parts, for the code points that aren't their own single part.
 
     Made by rule from the Unicode data; it holds at most one row per code point
     whatever the input, so it may be broadcast.
     """
-    rows = [(chr(i), _spread(chr(i))) for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and not 0xAC00 <= i < 0xD7A4 and not 0x3400 <= i < 0xA000 and not 0x20000 <= i < 0x2F800]
-    rows = [(ch, to) for ch, to in rows if ch != to] + [(ch, " ") for ch in "\t\n\v\f\r"]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["ch", "parts"]), "ch string, parts string")
+    return spark.createDataFrame(_mapped()[0], "ch string, parts string")
 
 
 def mark_classes(spark: SparkSession) -> DataFrame:
     """Combining marks and their classes, the ones that are ordered; bounded like ``mapping``."""
-    rows = [(chr(i), unicodedata.combining(chr(i))) for i in range(0x300, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and unicodedata.combining(chr(i))]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["part", "class"]), "part string, class int")
+    return spark.createDataFrame(_mapped()[1], "part string, class int")
 
 
 def _characters(text: Column) -> Column:
@@ -104,19 +114,19 @@ def consistent_forms(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
     """
     spark = df.sparkSession
     src = df.select(*keys, F.col(value).alias("value"))
-    distinct = src.select("value").filter("value is not null").distinct()
-    odd = distinct.filter(~F.col("value").rlike(_PLAIN))
-    signs = odd.select("value", F.posexplode(_characters(F.col("value"))).alias("pos", "ch"))
-    parts = signs.join(F.broadcast(mapping(spark)), "ch", "left").withColumn("parts", F.coalesce("parts", "ch")).filter("parts <> ''")
-    single = parts.select("value", "pos", F.posexplode(_characters(F.col("parts"))).alias("sub", "part"))
-    ranked = single.join(F.broadcast(mark_classes(spark)), "part", "left").fillna(0, ["class"])
+    plain = F.col("value").rlike(_PLAIN)
+    odd = src.filter(~plain).select("value").distinct()
+    signs = odd.select("value", F.posexplode_outer(_characters(F.col("value"))).alias("pos", "ch"))
+    parts = signs.join(F.broadcast(mapping(spark)), "ch", "left").withColumn("parts", F.coalesce("parts", "ch"))
+    # a value that shows nothing keeps a row without a part
+    single = parts.select("value", "pos", F.posexplode_outer(_characters(F.col("parts"))).alias("sub", "part"))
+    ranked = single.join(F.broadcast(mark_classes(spark)), "part", "left").fillna(0, ["class", "pos", "sub"])
     in_order = Window.partitionBy("value").orderBy("pos", "sub")
     bases = ranked.withColumn("base", F.sum(F.when(F.col("class") == 0, 1).otherwise(0)).over(in_order))
     rebuilt = bases.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("base", "class", "pos", "sub", "part"))).alias("items")).select("value", F.array_join(F.col("items.part"), "").alias("joined"))
     forms = rebuilt.select("value", _recompose(F.regexp_replace("joined", " +", " ")).alias("form"))
-    lost = odd.join(rebuilt.select("value"), "value", "left_anti").select("value", F.lit("").alias("form"))
-    known = forms.unionByName(lost).unionByName(distinct.filter(F.col("value").rlike(_PLAIN)).select("value", F.col("value").alias("form")))
-    return src.join(known, "value", "left").select(*keys, "value", "form")
+    easy = src.filter(plain | F.col("value").isNull()).select(*keys, "value", F.col("value").alias("form"))
+    return easy.unionByName(src.filter(~plain).join(forms, "value").select(*keys, "value", "form"))
 
 
 def same_looking_pairs(forms: DataFrame, groups: Sequence[str], key: str) -> DataFrame:
@@ -124,9 +134,10 @@ def same_looking_pairs(forms: DataFrame, groups: Sequence[str], key: str) -> Dat
 
     Records of one spelling aren't paired: the join is between the distinct
     spellings of a form, so a title repeated under one spelling costs nothing.
-    Only forms with more than one spelling reach the join.
+    Only forms with more than one spelling reach the join.  The forms are
+    written once, as three steps read them.
     """
-    rows = forms.filter("form is not null").select(*groups, "form", "value", F.col(key).alias("id")).distinct()
+    rows = cut(forms.filter("form is not null").select(*groups, "form", "value", F.col(key).alias("id")).distinct())
     several = rows.groupBy(*groups, "form").agg((F.min("value") != F.max("value")).alias("several")).filter("several").drop("several")
     rows = rows.join(several, [*groups, "form"])
     other = rows.select(*groups, "form", F.col("value").alias("value_b"), F.col("id").alias("id_b"))
