@@ -1,7 +1,9 @@
 """Nested JSON deliveries to related flat tables.
 
 Two steps.  The JVM turns each JSON text, whatever shapes its optional parts
-take, into one typed nested Arrow column.  Then the nesting is taken apart on
+take, into one typed nested Arrow column that holds only what the flat table
+needs: texts of the usual shape in one pass, others level by level.  Then the
+nesting is taken apart on
 Arrow buffers: list offsets give parent indices, child arrays come out whole,
 and keys travel down by vectorised ``take``; no row is visited in Python.
 """
@@ -26,6 +28,7 @@ TABLES = {
     "chunks": "data_id bigint, section_pos int, chunk_pos int, text string",
     "words": "data_id bigint, section_pos int, chunk_pos int, word_pos int, word string, start_s double, end_s double",
 }
+_BAD = "__bad"
 _WORD = "struct<word:string,start:double,end:double>"
 
 
@@ -65,7 +68,24 @@ def _word(raw: Column) -> Column:
 
 
 def _words(raw: Column) -> Column:
-    return F.transform(_as_list(raw), _word)
+    """Word entries of a list's text.  All objects of a list are parsed at once; where one of them is no whole object, each by itself."""
+
+    def of(items: Column) -> Column:
+        objects = F.transform(items, lambda x: F.when(_head(x) == "{", x).otherwise("null"))
+        parsed = _json(F.concat(F.lit("["), F.array_join(objects, ",", "null"), F.lit("]")), "array<struct<word:string,start:string,end:string>>")
+
+        def together(found: Column) -> Column:
+            entry = lambda x, i: F.when(_head(x) == "{", _timed(F.get(found, i))).otherwise(_word(x))
+            sound = (F.size(found) == F.size(items)) & ~F.exists(F.arrays_zip(items.alias("x"), found.alias("o")), lambda z: (_head(z["x"]) == "{") & z["o"].isNull())
+            return F.when(sound, F.transform(items, entry)).otherwise(F.transform(items, _word))
+
+        return F.when(items.isNotNull(), _let(F.coalesce(parsed, F.array().cast("array<struct<word:string,start:string,end:string>>")), together))
+
+    return _let(_as_list(raw), of)
+
+
+def _timed(o: Column) -> Column:
+    return F.struct(o["word"].alias("word"), o["start"].try_cast("double").alias("start"), o["end"].try_cast("double").alias("end"))
 
 
 def _object(raw: Column, schema: str, build) -> Column:
@@ -73,45 +93,76 @@ def _object(raw: Column, schema: str, build) -> Column:
     return F.when(_head(raw) == "{", _let(_json(raw, schema), build))
 
 
-def _heading(raw: Column) -> Column:
-    return _object(raw, "display_label string, display_title string, spoken_text string, words string", lambda o: F.struct(o["display_label"].alias("display_label"), o["display_title"].alias("display_title"), o["spoken_text"].alias("spoken_text"), _words(o["words"]).alias("words")))
+# What each flat table needs of a payload: of a section, of its heading, of its chunks.
+_SECTION = ("sequence", "section_type", "ordinal", "word_count")
+_NEEDS = {
+    "sections": (_SECTION, (), ()),
+    "headings": ((), ("display_label", "display_title", "spoken_text"), ()),
+    "chunks": ((), (), ("text",)),
+    "words": ((), ("words",), ("words",)),
+}
+_INT = ("sequence", "ordinal", "word_count")
+
 
+def _usual(wanted: str) -> str:
+    """The schema of a payload of the usual shape, every leaf as its text."""
+    section, heading, chunk = (",".join(f"{f}:string" for f in part) for part in _NEEDS[wanted])
+    parts = [section] * bool(section) + [f"heading:struct<{heading}>"] * bool(heading) + [f"chunks:array<struct<{chunk}>>"] * bool(chunk)
+    return f"sections array<struct<{','.join(parts)}>>, {_BAD} string"
 
-def _chunk(raw: Column) -> Column:
-    return _object(raw, "text string, words string", lambda o: F.struct(o["text"].alias("text"), _words(o["words"]).alias("words")))
 
+def _leaves(o: Column, names: tuple[str, ...]) -> Column:
+    """A parsed object's wanted members, null where the object is."""
+    cast = lambda n: _words(o[n]) if n == "words" else o[n].try_cast("int") if n in _INT else o[n]
+    return F.when(o.isNotNull(), F.struct(*(cast(n).alias(n) for n in names)))
 
-def _section(raw: Column) -> Column:
-    return _object(
-        raw,
-        "sequence string, section_type string, ordinal string, heading string, word_count string, chunks string",
-        lambda o: F.struct(
-            o["sequence"].try_cast("int").alias("sequence"),
-            o["section_type"].alias("section_type"),
-            o["ordinal"].try_cast("int").alias("ordinal"),
-            o["word_count"].try_cast("int").alias("word_count"),
-            _heading(o["heading"]).alias("heading"),
-            F.transform(_as_list(o["chunks"]), _chunk).alias("chunks"),
-        ),
-    )
+
+def _by_levels(raw: Column, wanted: str) -> Column:
+    """A section's wanted members from its text, each level by itself."""
+    section, heading, chunk = _NEEDS[wanted]
+    schema = lambda names: ", ".join(f"{n} string" for n in names)
+
+    def build(o: Column) -> Column:
+        parts = [c for n in section for c in (_leaves(o, (n,))[n].alias(n),)]
+        if heading:
+            parts.append(_object(o["heading"], schema(heading), lambda h: _leaves(h, heading)).alias("heading"))
+        if chunk:
+            parts.append(F.transform(_as_list(o["chunks"]), lambda c: _object(c, schema(chunk), lambda x: _leaves(x, chunk))).alias("chunks"))
+        return F.struct(*parts)
+
+    return _object(raw, schema((*section, *["heading"] * bool(heading), *["chunks"] * bool(chunk))), build)
+
+
+def _in_one(s: Column, wanted: str) -> Column:
+    section, heading, chunk = _NEEDS[wanted]
+    parts = [_leaves(s, (n,))[n].alias(n) for n in section]
+    if heading:
+        parts.append(_leaves(s["heading"], heading).alias("heading"))
+    if chunk:
+        parts.append(F.transform(s["chunks"], lambda c: _leaves(c, chunk)).alias("chunks"))
+    return F.when(s.isNotNull(), F.struct(*parts))
 
 
-def typed_sections(payload: Column) -> Column:
-    """A payload's sections as one typed nested column; null where it isn't whole JSON or has none."""
+def typed_sections(payload: Column, whole: Column, wanted: str = "words") -> Column:
+    """A payload's sections as one typed nested column of what is wanted; null where it isn't ``whole`` JSON or has none."""
+    at_once = F.from_json(payload, _usual(wanted), _STRICT | {"columnNameOfCorruptRecord": _BAD})
     opened = F.when(_head(payload) == '"', F.get(_json(F.concat(F.lit("["), payload, F.lit("]")), "array<string>"), F.lit(0))).otherwise(payload)
     sections = _let(opened, lambda text: _object(text, "sections string", lambda o: _as_list(o["sections"])))
-    return F.when(is_whole_json(payload), F.transform(sections, _section))
+    levels = F.transform(sections, lambda raw: _by_levels(raw, wanted))
+    usual = lambda j: F.when((_head(payload) == "{") & j[_BAD].isNull(), F.transform(j["sections"], lambda s: _in_one(s, wanted))).otherwise(levels)
+    return F.when(whole, _let(at_once, usual))
 
 
 def latest_deliveries(df: DataFrame) -> DataFrame:
-    """One row per data_id: of its deliveries the last one that is whole JSON, else the last.
+    """``data_id, payload, whole``: of an id's deliveries the last one that is whole JSON, else the last.
 
-    Equal times are decided by the payload itself, so the choice never depends
+    Equal times are decided by the payload's hash, so the choice never depends
     on row order.  ``max_by`` combines on the map side: a data_id delivered a
     million times still reaches the shuffle as one row per map task.
     """
-    rank = F.struct(is_whole_json(F.col("payload")).alias("whole"), F.col("received_at"), F.col("payload"))
-    return df.filter("data_id is not null").groupBy("data_id").agg(F.max(rank)["payload"].alias("payload"))
+    rows = df.filter("data_id is not null").select("data_id", "payload", "received_at", is_whole_json(F.col("payload")).alias("whole"))
+    rank = F.struct("whole", "received_at", F.xxhash64("payload"))
+    return rows.groupBy("data_id").agg(F.max_by(F.struct("payload", "whole"), rank).alias("last")).select("data_id", "last.*")
 
 
 def _explode(lists: pa.Array, keys: dict[str, pa.Array]) -> tuple[pa.Array, dict[str, pa.Array], pa.Array]:
@@ -170,7 +221,7 @@ def flatten(df: DataFrame, wanted: str) -> DataFrame:
     once counts once; a null data_id has no key and is left out; an empty table
     gives an empty table; further columns are ignored.
     """
-    typed = latest_deliveries(df).select("data_id", typed_sections(F.col("payload")).alias("sections")).filter("sections is not null")
+    typed = latest_deliveries(df).select("data_id", typed_sections(F.col("payload"), F.col("whole"), wanted).alias("sections")).filter("sections is not null")
     schema = StructType.fromDDL(TABLES[wanted])
     names = schema.fieldNames()
 
