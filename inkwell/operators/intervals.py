@@ -51,14 +51,18 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str = "from_pos"
         .agg(F.sum("__d").alias("__d"))
         .filter("__d <> 0")
         .withColumn("__block", F.floor(F.col("__pos") / F.lit(block)))
+        .filter("__pos is not null and __block is not null")
         .repartition(*here)
     )
     over_blocks = Window.partitionBy(*keys).orderBy("__block")
-    totals = events.groupBy(*here).agg(F.sum("__d").alias("__total"))
-    carried = totals.select(*here, F.coalesce(F.sum("__total").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__carry"))
+    # the last position and the filter above keep both readers' columns and filters alike, so that the
+    # totals read the very exchange of the events, not another scan
+    totals = events.groupBy(*here).agg(F.sum("__d").alias("__total"), F.max("__pos").alias("__last"))
+    carried = totals.select(*here, "__last", F.coalesce(F.sum("__total").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__carry"))
     in_block = Window.partitionBy(*here).orderBy("__pos")
     swept = (
         events.join(carried, here)
+        .filter("__pos <= __last")
         .withColumn("__now", F.col("__carry") + F.sum("__d").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
         .filter((F.col("__now") == 0) | (F.col("__now") == F.col("__d")))
         .select(*here, "__pos", (F.col("__now") > 0).alias("__opens"))
