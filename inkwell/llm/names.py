@@ -192,31 +192,32 @@ def _deletes(word: str) -> list[str]:
     return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}) if len(word) >= 4 else [word]
 
 
-def blocks(kind: str, given: str, middle: str, surname: str) -> list[tuple[int, int, str]]:
-    """``(gives, takes, key)``: two spellings of one name share a key that one gives and the other takes (bits of sides).
-
-    A surname common to a third of all spellings is never a key by itself: it
-    stands with the given name, with one letter less of it, with a part of three
-    letters of it, or with an initial, which only those written with initials
-    meet.  Single names and epithets meet only their like.
+def blocks(kind: str, given: str, middle: str, surname: str) -> list[str]:
+    """Keys, each after the sides it gives and takes: two spellings of one name share a key that one gives and the other takes.
+
+    Sides are bits, so that "12" gives side 1 and takes side 2.  A surname common
+    to a third of all spellings is never a key by itself: it stands with the
+    given name, with one letter less of it, with a part of three letters of it,
+    or with an initial, which only those written with initials meet.  Single
+    names and epithets meet only their like.
     """
     if kind == "org":
-        return [(1, 1, f"o|{middle}|{d}") for d in _deletes(surname)]
+        return [f"11o|{middle}|{d}" for d in _deletes(surname)]
     if kind in ("person", "epithet") and not (kind == "person" and given):
-        return [(1, 1, f"{kind}|{d}") for d in _deletes(surname)]
+        return [f"11{kind}|{d}" for d in _deletes(surname)]
     if kind != "person":
         return []
     near = _deletes(surname)
     if len(given) == 1:
-        return [(1, 3, f"i|{d}|{given}") for d in near]
-    out = [(1, 1, f"e|{d}|{r}") for d in near for r in roots(given)]
-    out += [(1, 1, f"t|{surname}|{g}") for g in _deletes(given)] if len(given) >= 4 else []
-    out += [(2, 1, f"i|{d}|{i}") for d in near for i in sorted({r[:1] for r in roots(given)})]
+        return [f"13i|{d}|{given}" for d in near]
+    out = [f"11e|{d}|{r}" for d in near for r in roots(given)]
+    out += [f"11t|{surname}|{g}" for g in _deletes(given)] if len(given) >= 4 else []
+    out += [f"21i|{d}|{i}" for d in near for i in sorted({r[:1] for r in roots(given)})]
     parts, heads = _parts(given), _heads(given)
-    out += [(2 * (p in heads) | 1 * (p in parts), 2 * (p in parts) | 1 * (p in heads), f"n|{surname}|{p}") for p in sorted(parts | heads)]
+    out += [f"{2 * (p in heads) | (p in parts)}{2 * (p in parts) | (p in heads)}n|{surname}|{p}" for p in sorted(parts | heads)]
     short, long = _contracted(given), len(given) >= 4
     if short or long:
-        out.append((short | 2 * long, 2 * short | long, f"c|{surname}|{given[0]}"))
+        out.append(f"{short | 2 * long}{2 * short | long}c|{surname}|{given[0]}")
     return out
 
 
@@ -281,7 +282,7 @@ def _spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-_KEYS = "array<struct<gives:int,takes:int,key:string>>"
+_KEYS = "array<string>"
 
 
 def _read_rows(df: DataFrame, raw: str, weight: str) -> DataFrame:
@@ -338,18 +339,24 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 
 def _meeting(forms: DataFrame, carried: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
-    """Pairs ``a``, ``b`` of forms (``id`` and ``carried``) that share a key one gives and the other takes, ``a.id`` < ``b.id``.
+    """Pairs ``a``, ``b`` of forms (``id``, ``within`` and ``carried``) that share a key one gives and the other takes, each once, ``a.id`` < ``b.id``.
 
     The two bits are the two sides of a key: a form only given on one side meets
     those taken there, so the many full names beside an initial don't meet each
-    other by it.  A pair that shares several keys comes several times.
+    other by it.  Only ids and hashes of keys travel; what the pairs are judged
+    by is joined to the distinct pairs.
     """
-    rows = forms.select(*within, F.struct("id", *carried).alias("it"), F.inline("blocks"))
-    giving = rows.filter("gives > 0").select(*within, "key", "gives", F.col("it").alias("a"))
-    taking = rows.filter("takes > 0").select(*within, "key", "takes", F.col("it").alias("b"))
-    both = giving.join(taking, [*within, "key"]).filter("(gives & takes) > 0 and a.id <> b.id")
-    first = F.col("a.id") < F.col("b.id")
-    return both.select(*within, F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
+    keys = forms.select("id", *within, F.explode("blocks").alias("block"))
+    side = lambda at: F.substring("block", at, 1).cast("int")
+    rows = keys.select("id", F.xxhash64(*within, F.substring("block", 3, 1 << 30)).alias("key"), side(1).alias("gives"), side(2).alias("takes"))
+    taking = rows.filter("takes > 0").select("key", "takes", F.col("id").alias("other"))
+    both = rows.filter("gives > 0").select("key", "gives", "id").join(taking, "key").filter("(gives & takes) > 0 and id <> other")
+    pairs = both.select(F.least("id", "other").alias("low"), F.greatest("id", "other").alias("high")).distinct()
+    known = lambda id_, it: forms.select(F.col("id").alias(id_), F.struct("id", *within, *carried).alias(it))
+    met = pairs.join(known("low", "a"), "low").join(known("high", "b"), "high")
+    for name in within:
+        met = met.filter(F.col(f"a.{name}") == F.col(f"b.{name}"))
+    return met.select(*(F.col(f"a.{name}").alias(name) for name in within), "a", "b")
 
 
 def attach(keys: DataFrame) -> DataFrame:
@@ -380,8 +387,8 @@ def attach(keys: DataFrame) -> DataFrame:
     by_rule = F.when(given.isNull() & ~one & ~irregular & given_edit.isNull() & _short_for(a("given"), b("given"), a("stems"), b("stems")), NICK + DROPPED)
     middle = F.when(org, F.when(a("middle") == b("middle"), 0.0)).otherwise(_middle_score(a("middle"), b("middle")))
     end = lambda s: F.struct(*(s(k).alias(k) for k in ("id", "prior", "full", "given_fame", "surname_fame", "surname_weight")))
-    judged = both.select(a("id").alias("a_id"), b("id").alias("b_id"), end(a).alias("low"), end(b).alias("high"), surname.alias("surname_edit"), given_edit.alias("given_edit"), F.coalesce(given, by_rule).alias("given_s"), middle.alias("middle_s"))
-    edges = cut(judged.filter("surname_edit is not null and middle_s is not null and (given_s is not null or given_edit is not null)").dropDuplicates(["a_id", "b_id"]))
+    judged = both.select(end(a).alias("low"), end(b).alias("high"), surname.alias("surname_edit"), given_edit.alias("given_edit"), F.coalesce(given, by_rule).alias("given_s"), middle.alias("middle_s"))
+    edges = cut(judged.filter("surname_edit is not null and middle_s is not null and (given_s is not null or given_edit is not null)"))
     learned = edit_scores(edges.filter("surname_edit <> '' and given_s = 0 and middle_s = 0").select(F.col("surname_edit").alias("edit")))
     edit = lambda e: F.coalesce(F.when(F.col(e) == "", 0.0), F.element_at("edits", F.col(e)))
     likelihood = edit("surname_edit") + F.coalesce("given_s", edit("given_edit")) + F.col("middle_s")
@@ -480,22 +487,21 @@ def _close(a: str, b: str) -> bool:
 _FORM = f"han string, surnames array<string>, givens array<string>, given_roots array<string>, given_stems array<string>, title_sex string, epithets array<string>, blocks {_KEYS}"
 
 
-def _character_blocks(han: str, surnames: list[str], givens: list[str], epithets: list[str]) -> list[tuple[int, int, str]]:
-    """``(gives, takes, key)`` as in ``blocks``: whole names meet by both their parts, and those with a part missing by the other or by an epithet."""
+def _character_blocks(han: str, surnames: list[str], givens: list[str], epithets: list[str]) -> list[str]:
+    """Keys with their sides as in ``blocks``: whole names meet by both their parts, and those with a part missing by the other or by an epithet."""
     if han:
-        return [(1, 1, f"h|{han}")]
+        return [f"11h|{han}"]
     whole = bool(surnames and givens)
-    sides = (2, 1) if whole else (1, 3)
-    out = {(1, 1, f"e|{d}|{r}") for s in surnames for d in _deletes(s) for g in givens for r in roots(g)} if whole else set()
-    out |= {key for s in surnames for g in givens for key in blocks("person", g, "", s) if key[2][:2] != "e|"}
+    sides = "21" if whole else "13"
+    out = {key for s in surnames for g in givens for key in blocks("person", g, "", s)}
     if whole or not givens:
-        out |= {(*sides, f"s|{d}") for s in surnames for d in _deletes(s)}
+        out |= {f"{sides}s|{d}" for s in surnames for d in _deletes(s)}
     if whole or not surnames:
-        out |= {(*sides, f"g|{r}") for g in givens for r in roots(g)}
-        short, long = ((2, 1), (2, 1)) if whole else ((1, 2), (1, 2))
-        out |= {(*short, f"{'q' if whole else 'p'}|{h}") for g in givens for h in _heads(g)}
-        out |= {(*long, f"{'p' if whole else 'q'}|{x}") for g in givens for x in _parts(g)}
-    return sorted(out | {(*sides, f"x|{e}") for e in epithets})
+        out |= {f"{sides}g|{r}" for g in givens for r in roots(g)}
+        side, head, part = ("21", "q", "p") if whole else ("12", "p", "q")
+        out |= {f"{side}{head}|{h}" for g in givens for h in _heads(g)}
+        out |= {f"{side}{part}|{x}" for g in givens for x in _parts(g)}
+    return sorted(out | {f"{sides}x|{e}" for e in epithets})
 
 
 def _character_forms(df: DataFrame) -> DataFrame:
@@ -568,7 +574,7 @@ def link_characters(df: DataFrame) -> DataFrame:
     likelihood = F.when((v("han") != "") | (c("han") != ""), F.when(v("han") == c("han"), 0.0)).otherwise(latin)
     end = lambda s: F.struct(*(s(k).alias(k) for k in ("id", "told", "prior", "weight")))
     judged = both.select("source_id", v("id").alias("form"), c("id").alias("other"), end(v).alias("low"), end(c).alias("high"), likelihood.alias("likelihood"))
-    scored = judged.filter(F.col("likelihood").isNotNull() & (F.col("likelihood") > -6.5)).dropDuplicates(["form", "other"])
+    scored = judged.filter(F.col("likelihood").isNotNull() & (F.col("likelihood") > -6.5))
     builds = plain_rows.groupBy("form").agg(F.collect_set("build").alias("builds"))
     edges = cut(scored.join(builds, "form").join(builds.select(F.col("form").alias("other"), F.col("builds").alias("other_builds")), "other").filter(~F.arrays_overlap("builds", "other_builds")).select("low", "high", "likelihood"))
     ways = edges.select(F.col("low").alias("v"), F.col("high").alias("c"), "likelihood").unionByName(edges.select(F.col("high").alias("v"), F.col("low").alias("c"), "likelihood"))
