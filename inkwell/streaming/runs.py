@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a run: in the cluster's checkpoint folder, else (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from inkwell.session import shared_folder
 
 
 def run_now(plan: DataFrame, mode: str = "append") -> DataFrame:
-    """Start the plan with the available-now trigger, wait, and read the table it wrote."""
+    """Start the plan with the available-now trigger, wait, and read the table it wrote; a stream without a batch gives no rows."""
     spark = plan.sparkSession
-    root = shared_folder(spark, "stream")
+    root = f"{shared_folder(spark, 'inkwell-stream-').rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = plan.schema
     if mode == "append":
         query = plan.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
@@ -30,7 +25,9 @@ def run_now(plan: DataFrame, mode: str = "append") -> DataFrame:
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(schema).parquet(f"{root}/out")
-    return spark.read.parquet(f"{root}/out").drop("part")
+    batches = spark.createDataFrame([], schema).selectExpr("*", "0L as batch").schema
+    spark.createDataFrame([], batches).write.mode("ignore").parquet(f"{root}/out/part=-1")  # so that the table is there without a batch
+    return spark.read.schema(batches).option("basePath", f"{root}/out").parquet(f"{root}/out")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
