@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, lookalike, mixing, names, residue, sentences, splitting
-from inkwell.session import cut, table
+from inkwell.session import cut, small_side, table
 
 
 def text_items(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -19,7 +19,7 @@ def text_items(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 def spoken_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text items with the language their book was last synced with."""
     books = table(spark, sf_dir, "source_books").filter("source_id is not null and language is not null").groupBy("source_id").agg(F.max_by("language", F.struct("updated_at", "language")).alias("language"))
-    return text_items(spark, sf_dir, "source_id").join(books, "source_id", "left")
+    return text_items(spark, sf_dir, "source_id").join(small_side(books), "source_id", "left")
 
 
 def split_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_pieces(spark, sf_dir).filter("piece_no = 0").select("item_kind", "item_id", "para_pos")
+    return splitting.split_items(split_input(spark, sf_dir), with_text=False).filter("piece_no = 0").select("item_kind", "item_id", "para_pos")
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,8 @@ WITHIN = {
     "fr": "p.ex c.-à-d env",
     "es": "p.ej aprox",
 }
+# Abbreviations that are words, names or single letters elsewhere: these hold in their own language only.
+AMBIGUOUS = "S M D T Me Fr Ing Mag Hon Gen Sen Rep Pres Col Ste Lic Art art Jan Mar Jun Sep Abs Tab Jh Anm Okt Dez liv tom chap par col ed sog resp env rs"
 MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember"
 # Verbs that report speech, for the clause after a quotation.
 SAID_EN = "said asked cried whispered replied answered shouted called exclaimed muttered murmured added continued demanded"
@@ -70,12 +72,13 @@ STARTERS = {
 LANGUAGES = {"en": "en eng english", "de": "de deu ger german", "fr": "fr fra fre french", "es": "es spa spanish", "hi": "hi hin hindi"}
 
 #: Characters before and after an abbreviation whose words tell the language it is quoted in.
-AROUND = 120
+AROUND = 60
 
 _in = lambda lists: {k: frozenset(v.split()) for k, v in lists.items()}
 _BY_LANGUAGE = {"titles": _in(TITLES), "numbered": _in(NUMBERED), "within": _in(WITHIN), "starters": _in(STARTERS)}
 _ANY = {k: frozenset().union(*v.values()) for k, v in _BY_LANGUAGE.items()}
 _FUNCTION = _in(FUNCTION_WORDS)
+_AMBIGUOUS = frozenset(AMBIGUOUS.split())
 _CODES = {code: name for name, codes in LANGUAGES.items() for code in codes.split()}
 _MONTHS = frozenset(MONTHS.split())
 
@@ -92,8 +95,9 @@ class Tongue:
     """The languages whose abbreviations hold at a place of a text.
 
     These are the book's tag, as far as the text doesn't speak for another, the
-    language of the whole text's function words, and that of the words around,
-    as texts quote in other languages.  Where neither tag nor words tell, every
+    language of the whole text's function words, and those of the words before
+    and after, as texts quote in other languages.  Only abbreviations that are
+    words elsewhere need it; the others hold everywhere.  Where neither tag nor words tell, every
     language's abbreviations hold.  Counted only where an abbreviation depends
     on it.
     """
@@ -109,12 +113,12 @@ class Tongue:
         if word not in _ANY[kind]:
             return False
         by_language = _BY_LANGUAGE[kind]
-        if not word.isascii() and not _LATIN_WORDS.fullmatch(word) or word in by_language.get("all", ()):
-            return True  # a word of another script is of its language only
+        if kind != "starters" and word not in _AMBIGUOUS or word in by_language.get("all", ()):
+            return True
         if self.tag and word in by_language.get(self.tag, ()):
             return True
-        near = _spoken(self.text[max(0, at - AROUND) : at + AROUND])
-        told = {self.whole, near} - {None} or {self.tag} - {None}
+        low, high = max(0, at - AROUND), at + AROUND
+        told = {self.whole, *(_spoken(self.text[a:b]) for a, b in ((low, high), (low, at), (at, high)))} - {None} or {self.tag} - {None}
         return not told or any(word in by_language.get(k, ()) for k in told)
 
 

@@ -132,11 +132,11 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
     return best[1]
 
 
-def split_items(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_items(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
     """``(item_kind, item_id, para_pos, text)``: the pieces of the items above the limit.
 
     One row per piece: piece_no, from_pos (overlap included), core_pos, to_pos,
-    n_units and piece.  A narrow Arrow step; a text of no more characters than
+    n_units and, if asked for, piece.  A narrow Arrow step; a text of no more characters than
     the limit can't have more units and never leaves the JVM.
 
     Defined cases: null, empty, blank and short texts give nothing; a text with
@@ -147,8 +147,8 @@ def split_items(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be under half the limit")
     keys = ["item_kind", "item_id", "para_pos"]
-    fields = {"piece_no": pa.int32(), "from_pos": pa.int32(), "core_pos": pa.int32(), "to_pos": pa.int32(), "n_units": pa.int32(), "piece": pa.string()}
-    schema = "item_kind string, item_id bigint, para_pos int, chars int, hash bigint, pieces array<struct<piece_no:int,from_pos:int,core_pos:int,to_pos:int,n_units:int,piece:string>>"
+    fields = {"piece_no": pa.int32(), "from_pos": pa.int32(), "core_pos": pa.int32(), "to_pos": pa.int32(), "n_units": pa.int32()} | ({"piece": pa.string()} if with_text else {})
+    schema = f"item_kind string, item_id bigint, para_pos int, chars int, hash bigint, pieces array<struct<{','.join(f'{n}:{t}' for n, t in zip(fields, ['int'] * 5 + ['string']))}>>"
     kept = [*keys, "chars", "hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def split_items(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
             for text in batch.column("text").to_pylist():
                 pieces = split_text(text, limit, overlap)
                 if len(pieces) > 1:
-                    rows += [(k, a, c, e, unit_count(text[a:e]), text[a:e].rstrip()) for k, (a, c, e) in enumerate(pieces)]
+                    rows += [(k, a, c, e, unit_count(text[a:e]), *([text[a:e].rstrip()] if with_text else [])) for k, (a, c, e) in enumerate(pieces)]
                 offsets.append(len(rows))
             columns = [pa.array(col, t) for col, t in zip(zip(*rows), fields.values())] if rows else [pa.array([], t) for t in fields.values()]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=list(fields)))
