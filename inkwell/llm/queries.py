@@ -127,5 +127,6 @@ _HAN = r"[\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3134f}]"
 _BLANK = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNITS = f"case when regexp_matches(t, '{_HAN}') then len(regexp_extract_all(regexp_replace(t, '({_HAN})', ' \\1 ', 'g'), '{_HAN}|[\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{N}}]+)*')) else len(list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda w: w <> '')) end"
 ORACLES = {
+    "p7_round_trip": "select doc_id from documents where false",
     "p1_found": f"with i as (select 'paragraph' as item_kind, section_id as item_id, unnest(range(len(paragraphs)))::int as para_pos, unnest(paragraphs) as t from sections union all select 'section', section_id, -1, text from sections union all select 'chunk', chunk_id, -1, text from chunks) select distinct item_kind, item_id, para_pos from i where {_UNITS} > 200",
 }
