@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,19 +78,33 @@ def exchanges(spans: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def batches(df: DataFrame, keys: Sequence[str], order: str, words: str, chars: str, most_words: int = D.BATCH_WORDS, most_chars: int = D.BATCH_CHARS) -> DataFrame:
     """Rows of each key packed in order into batches under both limits; a row over them stands alone.
 
-    A fold per key over (order, words, chars) triples only, never over texts.
+    The rows are sorted by key and order within their partitions and read once
+    with one batch's sums in hand, never over texts: a key of any size spills to
+    disk but is never held whole.  Defined cases: null counts are 0; equal
+    orders keep any order; no rows give no rows.
     """
-    items = F.array_sort(F.collect_list(F.struct(order, words, chars)))
-    kind = dict(df.dtypes)
-    empty = F.struct(F.array().cast(f"array<struct<o:{kind[order]},b:int>>").alias("out"), F.lit(0).alias("b"), F.lit(0).cast("bigint").alias("w"), F.lit(0).cast("bigint").alias("c"), F.lit(True).alias("none"))
-
-    def step(a, x):
-        flush = ~a["none"] & ((a["w"] + x[words] > most_words) | (a["c"] + x[chars] > most_chars))
-        b = a["b"] + flush.cast("int")
-        return F.struct(F.array_append(a["out"], F.struct(x[order].alias("o"), b.alias("b"))).alias("out"), b.alias("b"), (F.when(flush, 0).otherwise(a["w"]) + x[words]).cast("bigint").alias("w"), (F.when(flush, 0).otherwise(a["c"]) + x[chars]).cast("bigint").alias("c"), F.lit(False).alias("none"))
-
-    folded = df.groupBy(*keys).agg(items.alias("__i")).select(*keys, F.explode(F.aggregate("__i", empty, step, lambda a: a["out"])).alias("x"))
-    return folded.select(*keys, F.col("x.o").alias(order), F.col("x.b").alias("batch"))
+    keys = list(keys)
+    rows = df.select(*keys, order, F.coalesce(words, F.lit(0)).cast("bigint").alias("w"), F.coalesce(chars, F.lit(0)).cast("bigint").alias("c"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+    names = [*keys, order, "batch"]
+    kinds = dict(df.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, batch, w, c = None, 0, 0, 0
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                key, n_words, n_chars = row[: len(keys)], row[-2], row[-1]
+                if key != current:
+                    current, batch, w, c = key, 0, n_words, n_chars
+                elif w + n_words > most_words or c + n_chars > most_chars:
+                    batch, w, c = batch + 1, n_words, n_chars
+                else:
+                    w, c = w + n_words, c + n_chars
+                out.append((*row[:-2], batch))
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in [*keys, order]), "batch int"]))
 
 
 def spelling_repairs(names: DataFrame, observed: DataFrame, scope: Sequence[str]) -> DataFrame:

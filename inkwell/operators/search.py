@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import search as S
+from inkwell.session import shared_folder
+
+
+# The ranges of ideographs a query is told Chinese by.
+HAN = (("⺀", "⻿"), ("⼀", "⿕"), ("々", "々"), ("〇", "〇"), ("〡", "〩"), ("㐀", "䶿"), ("一", "鿿"), ("豈", "﫿"), ("\U00020000", "\U0003134f"))
 
 
 def token_index(books: DataFrame) -> DataFrame:
@@ -13,6 +22,35 @@ def token_index(books: DataFrame) -> DataFrame:
     return books.select("source_id", F.explode(S.index_tokens(F.col("title"), F.col("author"))).alias("token")).filter("source_id is not null").distinct()
 
 
+def written_index(index: DataFrame, path: str | None = None) -> DataFrame:
+    """The index as a table in order of its tokens, so that a search reads the row groups its beginnings fall into.
+
+    Written to ``path``, else to a new folder of the shared one; tokens are
+    spread over files by range, and a token that many editions share over several.
+    """
+    spark = index.sparkSession
+    path = path or f"{shared_folder(spark, 'inkwell-index-').rstrip('/')}/index-{uuid.uuid4().hex}"
+    index.repartitionByRange("token", "source_id").sortWithinPartitions("token", "source_id").write.parquet(path)
+    return spark.read.schema(index.schema).parquet(path)
+
+
+def read_query(query: str) -> tuple[str, str]:
+    """A query's canonical form, and the longest of its words, the first of equals; as ``functions.search.canonical``."""
+    han = re.compile("[" + "".join(f"{a}-{b}" for a, b in HAN) + "]")
+    low = (query.translate(str.maketrans(S.TRADITIONAL, S.SIMPLIFIED)) if han.search(query) else query).lower()
+    wide = low if low.isascii() else "".join(c for c in unicodedata.normalize("NFKD", low) if not "\u0300" <= c <= "\u036f")
+    whole = " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in wide).split())
+    return whole, max(whole.split(), key=len, default="")
+
+
+def _probes(term: str) -> list[tuple[int, str, bool]]:
+    """Stage, text and whether it is a beginning, of all that the index is asked for."""
+    chinese = any(a <= c <= b for c in term for a, b in HAN)
+    swapped = [term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)] if not chinese and 3 <= len(term) <= 12 else []
+    out = [(1, term, True)] + [(2, v, False) for v in dict.fromkeys(swapped)]
+    return out + [(3, term[:2], True)] * (len(term) >= (2 if chinese else 3))
+
+
 def search(books: DataFrame, index: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Editions for a query, best first: score, title, author, source_id.
 
@@ -28,25 +66,15 @@ def search(books: DataFrame, index: DataFrame, query: str, limit: int = 10) -> D
     Defined cases: a query whose longest word is under two signs finds nothing;
     null titles and authors count as empty; repeated editions count once.
     """
-    spark = books.sparkSession
-    asked = spark.range(1).select(S.canonical(F.lit(query)).alias("query"))
-    words = F.filter(F.split("query", " "), lambda w: w != "")
-    longest = F.reduce(words, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
-    asked = asked.withColumn("term", longest).filter(F.length("term") >= 2)
-    chinese = F.col("term").rlike("\\p{IsHan}")
-    span = F.length("term")
-    probes = asked.select(
-        "query", "term",
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit(1).alias("stage"), F.col("term").alias("probe"), F.lit(True).alias("prefix"))),
-                F.when(~chinese & span.between(3, 12), F.transform(S.swaps(F.col("term")), lambda v: F.struct(F.lit(2).alias("stage"), v.alias("probe"), F.lit(False).alias("prefix")))).otherwise(F.array().cast("array<struct<stage:int,probe:string,prefix:boolean>>")),
-                F.when(span >= F.when(chinese, 2).otherwise(3), F.array(F.struct(F.lit(3).alias("stage"), F.left("term", F.lit(2)).alias("probe"), F.lit(True).alias("prefix")))).otherwise(F.array().cast("array<struct<stage:int,probe:string,prefix:boolean>>")),
-            )
-        ).alias("p"),
-    ).select("query", "term", "p.*")
-    # the probes are the query's own few rows, whatever the index holds
-    hit = index.join(F.broadcast(probes), F.when(F.col("prefix"), F.startswith("token", F.col("probe"))).otherwise(F.col("token") == F.col("probe")))
+    whole, term = read_query(query)
+    probes = _probes(term) if len(term) >= 2 else []
+    stage = F.lit(None).cast("int")
+    wanted = F.lit(False)
+    for number, text, begins in reversed(probes):
+        fits = F.startswith("token", F.lit(text)) if begins else F.col("token") == text
+        stage, wanted = F.when(fits, number).otherwise(stage), fits | wanted
+    # literals only, so that the beginnings reach the scan of a written index
+    hit = index.filter(wanted).select("source_id", F.lit(whole).alias("query"), F.lit(term).alias("term"), stage.alias("stage"))
     found = hit.groupBy("source_id", "query", "term").agg(F.min("stage").alias("stage"))
     lowest = found.agg(F.min("stage").alias("lowest"))
     found = found.join(F.broadcast(lowest), F.col("stage") == F.col("lowest")).drop("lowest")

@@ -18,9 +18,8 @@ def registry_mentions(s, d):
 
 
 def registry_observed(s, d):
-    """Capitalised words of seven letters or more, by how many chunks have them."""
-    c = dialogues._chunks(s, d)
-    forms = c.select("chunk_id", F.explode(F.regexp_extract_all("text", F.lit("(?:^|[^A-Za-z])([A-Z][a-z]{6,})"), F.lit(1))).alias("form")).distinct()
+    """Names each chunk shows, of seven letters or more, by how many chunks have them."""
+    forms = dialogues._chunks(s, d).select("chunk_id", F.explode(R.observed_names(F.col("text"))).alias("form")).filter("length(form) >= 7").distinct()
     return forms.groupBy("form").agg(F.count("*").alias("chunks"))
 
 
@@ -49,8 +48,13 @@ def direction_reused(s, d):
 
 
 QUERIES = {f.__name__: f for f in (registry_mentions, registry_observed, answers_checked, answers_patched, direction_reused)}
+# Runs with letters beyond ASCII are taken out first, as this dialect's word edges know only ASCII.
+_FOREIGN = "[A-Za-z0-9_]*(?:[\\x{c0}-\\x{963}\\x{966}-\\x{1fff}\\x{3040}-\\x{9fff}\\x{ac00}-\\x{d7a3}][A-Za-z0-9_]*)+"
+_FORM = R.NAME_FORM.replace("'", "''")
+_EDGE = "[^\\p{L}\\p{M}\\p{N}_]"
 ORACLES = {
-    "registry_observed": f"with {dialogues._CH}, f as (select distinct chunk_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Z][a-z]{{6,}})', 1)) as form from ch) select form, count(*) as chunks from f group by 1",
+    "registry_mentions": f"with {dialogues._PR} select coalesce(trim(canonical) <> '' and regexp_matches(lower(concat_ws(' ', first_evidence_quote, description)), '(?:^|{_EDGE})' || regexp_escape(lower(trim(canonical))) || '(?:$|{_EDGE})'), false) as mentioned, count(*) as n from pr group by 1",
+    "registry_observed": f"with {dialogues._CH}, f as (select chunk_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '{_FOREIGN}', '·', 'g'), '{_FORM}')), '\\s+', ' ', 'g') as form from ch), o as (select chunk_id, first(form order by n) as form from (select *, row_number() over (partition by chunk_id) as n from f) group by chunk_id, lower(form)) select form, count(*) as chunks from o where length(form) >= 7 group by 1",
     "answers_checked": f"with {dialogues._CH}, {dialogues._QU}, a as (select section_id, quote_id from qn where quote_id % 7 <> 3), b as (select * from a union all select * from a where quote_id % 11 = 5), c as (select section_id, quote_id, count(*) as n from b group by all) select q.section_id, q.quote_id, case when n is null then 'missing' else 'repeated' end as fault from qn q left join c on q.section_id = c.section_id and q.quote_id = c.quote_id where n is null or n > 1",
     "answers_patched": "with s as (select track_id, pause_start_frame, min(break_type) as break_type from seam_audits where track_id is not null and pause_start_frame is not null group by all), bad as (select distinct track_id from s where track_id % 4 = 1 and pause_start_frame % 5 = 0) select track_id, pause_start_frame, case when pause_start_frame % 5 = 0 and track_id not in (select track_id from bad) then 'word' else break_type end as break_type from s",
     "direction_reused": f"with {dialogues._CH}, t as (select source_id, section_id, list(text order by chunk_index, chunk_id) as texts from ch where source_id is not null group by all), k as (select source_id, texts, max(section_id) as newest from t group by all) select t.source_id, t.section_id, k.newest from t left join k on t.source_id = k.source_id and t.texts = k.texts",

@@ -179,7 +179,9 @@ lv as (select *, case when emotion = 'neutral' then 0.7 else least(0.7, case whe
 tg as (select *, case emotion when 'happy' then 0.72 when 'sad' then 0.38 when 'angry' then 0.85 when 'anxious' then 0.78 when 'surprised' then 0.82 when 'amused' then 0.68 else 0.5 end as ex, case emotion when 'happy' then 0.42 when 'sad' then 0.58 when 'angry' then 0.34 when 'anxious' then 0.36 when 'surprised' then 0.38 when 'amused' then 0.44 else 0.5 end as cw from lv),
 sg as (select chunk_id, start, emotion, (case when speaker <> 'narrator' then 1.05 when plain_words > 24 then 0.95 else 1.0 end)::double as speed, level::double as level, case when voice_policy = 'narrator_compatible' then 0 else 120 end as pause_ms, round_even(0.5 + (ex - 0.5) * level, 4)::double as exaggeration, round_even(0.5 + (cw - 0.5) * level, 4)::double as cfg_weight from tg)"""
 _FLUSH = "(a[len(a)].w + y[1].w > 1500 or a[len(a)].c + y[1].c > 10000)"
+_TAG = D.DIALOGUE_TAG.replace("(?iU)", "(?i)").replace("\\s", "[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}]")
 ORACLES = {
+    "span_tags": f"with {_CH}, {_QU}, f as (select substring(ch.text, \"end\" + 1, 60) as t from qn q join ch using (chunk_id)) select length(trim(t)) <= 120 and regexp_matches(t, '{_TAG}') as tag, count(*) as n from f group by 1",
     "segment_direction": f"with {_SEG} select * from sg",
     "segment_speeds": f"with {_SEG} select format('{{:.2f}}', speed) as speed, count(*) as n, count(*) filter (speed > 1) as above from sg group by 1",
     "spans_exchange": f"with {_TI}, q as (select section_id, chunk_index * 1000000 + start as place, speaker, delivery_type from sp join ch using (chunk_id) where speaker <> 'narrator'), n as (select *, list_concat(coalesce(list(case when delivery_type = 'spoken_dialogue' then speaker end) over (partition by section_id order by place rows between 4 preceding and 1 preceding), []), coalesce(list(case when delivery_type = 'spoken_dialogue' then speaker end) over (partition by section_id order by place rows between 1 following and 4 following), [])) as near from q), e as (select section_id, delivery_type = 'spoken_dialogue' and len(list_filter(near, lambda x: x is not null and x <> speaker)) > 0 as exchange from n) select section_id, exchange, count(*) as n from e group by all",

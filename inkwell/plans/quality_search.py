@@ -21,24 +21,29 @@ def search_index(s, d):
 
 
 def _search(query: str):
-    return lambda s, d: X.search(_books(s, d), X.token_index(_books(s, d)), query)
+    def run(s: SparkSession, d: str) -> DataFrame:
+        books = _books(s, d)
+        return X.search(books, X.written_index(X.token_index(books)), query)
+
+    return run
 
 
 def search_prefix_scan(s, d):
     """Indexed tokens that begin with "be", with their editions."""
-    return search_index(s, d).filter(F.startswith("token", F.lit("be")))
+    return X.written_index(search_index(s, d)).filter(F.startswith("token", F.lit("be")))
 
 
 def search_swaps(s, d):
-    """All single changes of neighbouring letters of the nation names."""
-    return table(s, d, "nation").select("n_name", F.explode(S.swaps(F.lower("n_name"))).alias("variant"))
+    """All single changes of neighbouring letters of the words of title slugs."""
+    w = table(s, d, "source_books").filter("title_slug is not null").select(F.explode(F.split("title_slug", "-")).alias("word")).filter("length(word) between 3 and 12").distinct()
+    return w.select("word", F.explode(S.swaps(F.col("word"))).alias("variant"))
 
 
 def search_distances(s, d):
-    """Nation names of edit distance at most three; null beyond."""
-    n = table(s, d, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x"), F.left("n_name", F.lit(1)).alias("k"))
-    m = table(s, d, "nation").select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"), F.left("n_name", F.lit(1)).alias("k"))
-    return n.join(m, "k").filter("a < b").select("a", "b", F.nullif(F.levenshtein("x", "y", 3), F.lit(-1)).alias("distance"))
+    """Edit distance of each catalog title's slug from its source's, where it is at most three; null beyond."""
+    a = table(s, d, "source_books").filter("title_slug is not null").select("source_id", F.col("title_slug").alias("x")).distinct()
+    b = table(s, d, "published_books").filter("title_slug is not null").select(F.col("source").alias("source_id"), F.col("title_slug").alias("y")).distinct()
+    return a.join(b, "source_id").select("source_id", "x", "y", F.nullif(F.levenshtein("x", "y", 3), F.lit(-1)).alias("distance"))
 
 
 def search_matches(s, d):
@@ -106,8 +111,9 @@ QUERIES |= {"search_prefix": _search("ferrymen"), "search_typo": _search("lanetr
 
 _B = "b as (select * from source_books where source_id is not null qualify row_number() over (partition by source_id order by updated_at desc nulls last, coalesce(title,'') desc) = 1)"
 ORACLES = {
-    "search_swaps": "with n as (select n_name, lower(n_name) as w, unnest(range(1, length(n_name))) as i from nation) select distinct n_name, substring(w, 1, i - 1) || substring(w, i + 1, 1) || substring(w, i, 1) || substring(w, i + 2) as variant from n",
-    "search_distances": "select a.n_nationkey as a, b.n_nationkey as b, case when levenshtein(a.n_name, b.n_name) <= 3 then levenshtein(a.n_name, b.n_name) end as distance from nation a join nation b on left(a.n_name, 1) = left(b.n_name, 1) and a.n_nationkey < b.n_nationkey",
+    "identity_fingerprints": "with j as (select try_cast(provenance as json) as j from source_books where provenance is not null) select case when len(json_keys(j)) = 0 then sha256('{}') else sha256('{\"origin\":' || (j -> '$.origin')::varchar || ',\"rev\":' || (j ->> '$.rev') || '}') end as fingerprint, count(*) as n from j group by 1",
+    "search_swaps": "with w as (select distinct word from (select unnest(string_split(title_slug, '-')) as word from source_books where title_slug is not null) where length(word) between 3 and 12), v as (select word, unnest(range(1, length(word)::bigint)) as i from w) select distinct word, left(word, i - 1) || substring(word, i + 1, 1) || substring(word, i, 1) || substring(word, i + 2) as variant from v",
+    "search_distances": "with a as (select distinct source_id, title_slug as x from source_books where title_slug is not null), b as (select distinct source as source_id, title_slug as y from published_books where title_slug is not null) select source_id, x, y, case when levenshtein(x, y) <= 3 then levenshtein(x, y)::int end as distance from a join b using (source_id)",
     "identity_checks": "with p as (select * from published_books qualify row_number() over (partition by catalog_id order by catalog_id) = 1), s as (select *, floor(coalesce(total_duration_seconds, 0))::bigint as t from p) select catalog_id, split_part(source, ':', 1) as provider, concat_ws('/', 'books', author_slug, title_slug, 'renditions', rendition, 'builds', current_build) as key, substring(sha256(author_slug || title_slug), 1, 16) as fixture, case when t >= 3600 then (t // 3600) || 'h ' || ((t % 3600) // 60) || 'm' else (t // 60) || 'm' end as length, (t // 60) || ':' || lpad((t % 60)::varchar, 2, '0') as clock, 'section-' || lpad(coalesce(section_count, 0)::varchar, greatest(2, length(coalesce(section_count, 0)::varchar))::int, '0') as last from s",
     "quality_completeness": "with w as (select distinct source_id, sequence from sections where source_id is not null and sequence is not null), k as (select 'chunks' as kind, 'error' as level union all select 'words', 'error' union all select 'pauses', 'warning'), h as (select distinct source_id, sequence, 'chunks' as kind from chunks union all select distinct source_id, sequence, 'words' from word_times union all select distinct source_id, sequence, 'pauses' from seam_audits), m as (select w.*, k.kind, k.level from w cross join k where not exists (select 1 from h where h.source_id = w.source_id and h.sequence = w.sequence and h.kind = k.kind)), c as (select source_id, sequence, count(*) filter (level = 'error') as errors, count(*) filter (level = 'warning') as warnings from m group by all) select w.source_id, w.sequence, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings, case when errors > 0 then 'fail' when warnings > 0 then 'warn' else 'ok' end as status from w left join c using (source_id, sequence)",
     "quality_skipped": "select track_id, count(*) filter (start_s < 0 or word_index < 0) as skipped, count(*) as n from word_times where track_id is not null group by 1 having skipped > 0",

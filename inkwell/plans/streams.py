@@ -50,4 +50,28 @@ def stream_job_states(s, d):
 
 QUERIES = {f.__name__: f for f in (job_states, job_state_counts, event_rates, stream_rates, stream_job_states)}
 _RATES = f"with w as (select user_id, time_bucket(interval '{RATE[0]} seconds', ts::timestamp, timestamp '1970-01-01') as window_start, count(*) as n from events where user_id is not null and ts is not null group by all) select user_id, window_start, n, least(n, {RATE[1]}) as allowed from w"
-ORACLES = {"event_rates": _RATES, "stream_rates": _RATES}
+# The fold as a reduction of each key's ordered events, the state carried in the element.
+_OUT = "(a.s = 'running' and a.u < e.t and a.n >= 3)"
+_ST, _LU = f"(case when {_OUT} then 'failed' else a.s end)", f"(case when {_OUT} then 0.0 else a.u end)"
+_HELD = f"({_ST} = 'running' and {_LU} > e.t)"
+_RULES = {
+    "create": f"e.k = 'create' and {_ST} not in ('queued', 'running')",
+    "claim": f"e.k = 'claim' and a.n < 3 and ({_ST} = 'queued' or {_ST} = 'running' and {_LU} < e.t)",
+    "beat": f"e.k = 'heartbeat' and {_HELD}",
+    "end": f"e.k in ('finish', 'fail') and {_HELD}",
+}
+_OK = " or ".join(f"({r})" for r in _RULES.values())
+_STEP = f"""struct_pack(k := e.k, t := e.t, s := case when {_RULES['create']} then 'queued' when {_RULES['claim']} then 'running' when {_RULES['end']} then case e.k when 'finish' then 'completed' else 'failed' end else {_ST} end,
+n := case when {_RULES['create']} then 0 when {_RULES['claim']} then a.n + 1 else a.n end, u := case when {_RULES['claim']} or {_RULES['beat']} then e.t + {LEASE_S}.0 when {_RULES['end']} then 0.0 else {_LU} end,
+y := a.y + coalesce({_OK}, false)::int, x := a.x + (not coalesce({_OK}, false))::int)"""
+_JOBS = f"""with ev as (select distinct user_id as key, event_id as seq, epoch_us(ts::timestamp) / 1e6 as t, case event_type when 'signup' then 'create' when 'view' then 'claim' when 'click' then 'heartbeat' when 'purchase' then 'finish' when 'error' then 'fail' end as k from events where user_id is not null and ts is not null),
+li as (select key, list(struct_pack(k := k, t := t, s := '', n := 0, u := 0.0::double, y := 0, x := 0) order by t, seq) as l from ev group by key),
+fo as (select key, list_reduce(list_prepend(struct_pack(k := 'start', t := 0.0::double, s := 'none', n := 0, u := 0.0::double, y := 0, x := 0), l), lambda a, e: {_STEP}) as r from li),
+jobs as (select key, r.s as state, r.n as attempts, r.u as lease_until, r.y as accepted, r.x as rejected from fo)"""
+ORACLES = {
+    "event_rates": _RATES,
+    "stream_rates": _RATES,
+    "job_states": f"{_JOBS} select * from jobs",
+    "stream_job_states": f"{_JOBS} select * from jobs",
+    "job_state_counts": f"{_JOBS} select state, attempts, count(*) as n, sum(rejected)::bigint as rejected from jobs group by all",
+}

@@ -119,8 +119,9 @@ def chunk_line_packs(s, d):
 
 
 def heading_ordinals(s, d):
-    """Numbers 1 to 5000 as Roman numerals and words, and back."""
-    n = s.range(1, 5001).select(F.col("id").cast("int").alias("n"))
+    """The word counts of sections and chunks' places as Roman numerals and words, and back."""
+    counts = table(s, d, "sections").select(F.col("word_count").alias("n")).unionByName(table(s, d, "chunks").select((F.col("chunk_index") + 1).alias("n")))
+    n = counts.filter("n > 0").distinct()
     return n.select("n", H.int_to_roman(F.col("n")).alias("roman"), H.roman_to_int(H.int_to_roman(F.col("n"))).alias("back"), H.english_number(F.col("n") * 199).alias("words"))
 
 
@@ -143,7 +144,14 @@ _WC = lambda c: f"len(list_filter(regexp_split_to_array({c}, '{_WS}+'), lambda w
 _TITLE = "trim(regexp_replace(regexp_replace(heading.display_title, '[\\x{feff}\\x{200b}\\x{200c}\\x{200d}\\x{2060}]', '', 'g'), '" + _WS + "+', ' ', 'g'))"
 # Runs next to Han are set apart by spaces first, as this dialect has no class subtraction.
 _APART = f"regexp_replace(text, '({_HAN})', ' \\1 ', 'g')"
+_DIGITS = lambda one, five, ten: "['', " + ", ".join(f"'{x}'" for x in (one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)) + "]"
+_ROMAN = "repeat('M', n // 1000) || " + " || ".join(f"({_DIGITS(*x)})[n // {by} % 10 + 1]" for by, x in ((100, "CDM"), (10, "XLC"), (1, "IVX")))
+_SMALL, _TENS = (str(x).replace("[", "list_value(").replace("]", ")") for x in (H.SMALL, H.TENS))
+_UNDER = lambda n: f"(case when {n} < 20 then ({_SMALL})[{n} + 1] when {n} % 10 = 0 then ({_TENS})[{n} // 10 - 1] else ({_TENS})[{n} // 10 - 1] || '-' || ({_SMALL})[{n} % 10 + 1] end)"
+_THREE = lambda n: f"concat_ws(' ', case when {n} >= 100 then ({_SMALL})[{n} // 100 + 1] || ' Hundred' end, case when {n} < 100 or {n} % 100 <> 0 then {_UNDER(f'({n} % 100)')} end)"
+_SPELLED = f"case when m <= 0 or m >= 1000000 then m::varchar else concat_ws(' ', case when m >= 1000 then {_THREE('(m // 1000)')} || ' Thousand' end, case when m < 1000 or m % 1000 <> 0 then {_THREE('(m % 1000)')} end) end"
 ORACLES = {
+    "heading_ordinals": f"with n as (select distinct n, n * 199 as m from (select word_count as n from sections union all select chunk_index + 1 from chunks) where n > 0) select n, {_ROMAN} as roman, n as back, {_SPELLED} as words from n",
     "text_counts": f"with {_SECT} select section_id, regexp_matches(text, '{_HAN}') as has_han, {_WC('text')} as words, case when regexp_matches(text, '{_HAN}') then len(regexp_extract_all({_APART}, '{_UNIT.replace(chr(39), chr(39) * 2)}')) else {_WC('text')} end as units, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}'']+')) as tokens from sec",
     "text_plain_sentences": f"select doc_id, case when regexp_matches(text, '{_HAN}') then len(list_filter(regexp_extract_all(text, '[^。！？!?]+[。！？!?]*[”’」』]*|[。！？!?]+'), lambda x: trim(regexp_replace(x, '{_WS}+', ' ', 'g')) <> '')) else len(list_filter(string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(2), 'g'), chr(2)), lambda x: trim(regexp_replace(x, '{_WS}+', ' ', 'g')) <> '')) end as sentences from documents where text is not null",
     "text_languages": f"select language as given, {_LANG} as language, count(*) as n from source_books group by 1, 2",

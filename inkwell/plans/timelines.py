@@ -146,7 +146,11 @@ _COV = "ch as (select * from chunks qualify row_number() over (partition by chun
 _Q = "\"''“”‘’"
 _BARE = f"regexp_replace(rtrim(before_text), '[{_Q})\\]}}]+$', '')"
 _LAST = f"case when {_BARE} = '' then right(rtrim(before_text), 1) else right({_BARE}, 1) end"
+_HAN = r"[\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3134f}]"
+_WS = r"[\s\x{b}\x{c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SAID = f"list_filter(case when regexp_matches(text, '{_HAN}') then regexp_extract_all(text, '[^。！？!?]+[。！？!?]*[”’」』]*|[。！？!?]+') else string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(2), 'g'), chr(2)) end, lambda x: trim(regexp_replace(x, '{_WS}+', ' ', 'g')) <> '')"
 ORACLES = {
+    "timeline_segments": f"with c as (select * from chunks where text is not null qualify row_number() over (partition by chunk_id order by chunk_id) = 1) select chunk_id, len({_SAID}) as segments, (chunk_index + 1)::double as last_s from c where len({_SAID}) > 0",
     "timeline_violations": f"with {_W}, fa as (select track_id, round(quantile_cont(end_s, 0.5) * 2, 4) as duration, max(chunk_index) + 1 as chunks from word_times where track_id is not null group by 1), x as (select ww.*, duration, chunks, lag(start_s) over (partition by ww.track_id order by word_index) as prev from ww join fa using (track_id)), v as (select track_id, unnest(list_filter([case when trim(coalesce(word, '')) = '' then 'empty word' end, case when start_s < 0 then 'start negative' end, case when end_s < 0 then 'end negative' end, case when start_s > duration then 'start beyond' end, case when end_s > duration then 'end beyond' end, case when chunk_index < 0 or chunk_index >= chunks then 'chunk out of range' end, case when start_s < prev then 'start backward' end], lambda y: y is not null)) as violation from x) select track_id, violation, count(*) as n from v group by all",
     "seam_classified": f"with {_S} select break_type, case when break_type = 'paragraph' then 'paragraph' when trim(before_text) = '' or trim(after_text) = '' then 'word' when {_LAST} in ('.', '?', '!') then 'sentence' when {_LAST} in (',', ';', ':', '-', '–', '—') then 'phrase' when contains('{_Q}', right(rtrim(before_text), 1)) or contains('{_Q}', left(ltrim(after_text), 1)) then 'quote' else 'word' end as called_for, count(*) as n from se where before_text is not null and after_text is not null group by all",
     "timeline_next_start": f"with {_C} select *, (select min_by(c2.start_s, c2.chunk_index) from c c2 where c2.track_id = c.track_id and c2.chunk_index > c.chunk_index and c2.start_s >= 0) as next_start from c",
