@@ -30,6 +30,8 @@ KINDS = ("template", "filler", "notice")
 LABELLED = 0.8
 #: Weight of the labelled prose in the natural model; the rest is the corpus.
 NEAR = 0.1
+#: The same where there is no corpus yet, in place of which any four-gram is as likely.
+ALONE = 0.3
 #: Bytes of text read at once; a single longer text is read whole.
 AT_ONCE = 4_000_000
 
@@ -180,8 +182,8 @@ def _ratios(corpus: np.ndarray) -> np.ndarray:
     """
     labelled = residue_lines.labelled()
     prose = _line_counts(labelled["prose"])
-    rest = corpus / corpus.sum() if corpus.any() else 1 / BUCKETS
-    natural = (1 - NEAR) * rest + NEAR * prose / prose.sum() + 0.5 / BUCKETS
+    near, rest = (NEAR, corpus / corpus.sum()) if corpus.any() else (ALONE, 1 / BUCKETS)
+    natural = (1 - near) * rest + near * prose / prose.sum() + 0.5 / BUCKETS
     out = []
     for kind in KINDS:
         counts, spelled = (np.minimum(c, 3 + np.log1p(c)) for c in (_line_counts(labelled[kind]), _line_counts(labelled[kind], False)))
@@ -225,8 +227,9 @@ def _found(hashed: np.ndarray, segments: np.ndarray, ratios: np.ndarray) -> tupl
     A sentence is residue as a whole by its windows' means and coverage; in any
     other sentence a run of consecutive windows is, by its own ratios' sum.  The
     sum of positive greatest ratios bounds a run's; times the most that windows
-    cut at the ends can weigh one place, it bounds the windows' means.  Only
-    sentences that pass with a bound are read for each kind.
+    cut at the ends can weigh one place, it bounds the windows' means; so do the
+    windows of the greatest ratios themselves.  Only sentences that pass with
+    both bounds are read for each kind.
     """
     starts = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
     lengths = np.diff(np.r_[starts, len(segments)])
@@ -238,8 +241,18 @@ def _found(hashed: np.ndarray, segments: np.ndarray, ratios: np.ndarray) -> tupl
     if not maybe.any():
         return (np.empty(0, np.int64),) * 3
     at = np.repeat(maybe, lengths)
-    hashed, segments, lengths, least = hashed[at], segments[at], lengths[maybe], least[maybe]
+    hashed, segments, lengths, least, bound = hashed[at], segments[at], lengths[maybe], least[maybe], bound[at]
     firsts, starts = starts[maybe], np.cumsum(lengths) - lengths
+    # the same rules by the greatest ratios' own windows, which no kind's exceed
+    top = _window_means(bound, segments)
+    passing = top > RATIO * 0.999
+    whole = (np.add.reduceat(passing.astype(np.int64), starts) >= COVERAGE * lengths) & (np.add.reduceat(top, starts) > least * 0.999)
+    maybe = whole | (np.add.reduceat(np.where(passing, np.maximum(bound, 0), 0), starts, dtype=np.float64) > RUN_EVIDENCE * 0.999)
+    if not maybe.any():
+        return (np.empty(0, np.int64),) * 3
+    at = np.repeat(maybe, lengths)
+    hashed, segments, lengths, least, firsts = hashed[at], segments[at], lengths[maybe], least[maybe], firsts[maybe]
+    starts = np.cumsum(lengths) - lengths
     values = ratios[:, hashed]
     means = np.array([_window_means(v, segments) for v in values])
     passing = means.max(axis=0) > RATIO
