@@ -350,10 +350,11 @@ def _meeting(forms: DataFrame, carried: Sequence[str], within: Sequence[str] = (
     side = lambda at: F.substring("block", at, 1).cast("int")
     rows = keys.select("id", F.xxhash64(*within, F.substring("block", 3, 1 << 30)).alias("key"), side(1).alias("gives"), side(2).alias("takes"))
     taking = rows.filter("takes > 0").select("key", "takes", F.col("id").alias("other"))
-    both = rows.filter("gives > 0").select("key", "gives", "id").join(taking, "key").filter("(gives & takes) > 0 and id <> other")
+    both = rows.filter("gives > 0").select("key", "gives", "id").join(taking.hint("merge"), "key").filter("(gives & takes) > 0 and id <> other")
     pairs = both.select(F.least("id", "other").alias("low"), F.greatest("id", "other").alias("high")).distinct()
     known = lambda id_, it: forms.select(F.col("id").alias(id_), F.struct("id", *within, *carried).alias(it))
-    met = pairs.join(known("low", "a"), "low").join(known("high", "b"), "high")
+    # merged, not broadcast: the forms grow with the data, and building their tables would fill the driver
+    met = pairs.join(known("low", "a").hint("merge"), "low").join(known("high", "b").hint("merge"), "high")
     for name in within:
         met = met.filter(F.col(f"a.{name}") == F.col(f"b.{name}"))
     return met.select(*(F.col(f"a.{name}").alias(name) for name in within), "a", "b")
