@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from inkwell.functions.text import collapse_space
 from inkwell.sources.catalogs import PUBLIC_DOMAIN
@@ -25,7 +26,7 @@ SLUG, SECTION_NUMBER, BUILD = "^[a-z0-9]+(?:-[a-z0-9]+)*$", "^\\d{1,3}$", "^[a-f
 BANNER = re.compile(r"this\s+is\s+a\s+copyrighted\s+project\s+gutenberg\s+ebook", re.I)
 
 #: Text of a piece of HTML: tags out, entities read, spaces made one.
-plain_text = F.pandas_udf(lambda s: s.map(lambda t: " ".join(html.unescape(re.sub(r"<[^>]*>", "", t)).split()) if t is not None else None), "string")
+plain_text = F.pandas_udf(lambda s: s.map(lambda t: " ".join(html.unescape(re.sub(r"<[^>]*>", "", t)).split()) if t is not None else None), StringType())
 
 
 def edition_page(pages: DataFrame) -> DataFrame:
