@@ -150,7 +150,42 @@ _SMALL, _TENS = (str(x).replace("[", "list_value(").replace("]", ")") for x in (
 _UNDER = lambda n: f"(case when {n} < 20 then ({_SMALL})[{n} + 1] when {n} % 10 = 0 then ({_TENS})[{n} // 10 - 1] else ({_TENS})[{n} // 10 - 1] || '-' || ({_SMALL})[{n} % 10 + 1] end)"
 _THREE = lambda n: f"concat_ws(' ', case when {n} >= 100 then ({_SMALL})[{n} // 100 + 1] || ' Hundred' end, case when {n} < 100 or {n} % 100 <> 0 then {_UNDER(f'({n} % 100)')} end)"
 _SPELLED = f"case when m <= 0 or m >= 1000000 then m::varchar else concat_ws(' ', case when m >= 1000 then {_THREE('(m // 1000)')} || ' Thousand' end, case when m < 1000 or m % 1000 <> 0 then {_THREE('(m % 1000)')} end) end"
+# The chunker: oversized paragraphs to sentences, these to comma groups or word windows, then all packed in order.
+_UC = lambda c: f"(case when regexp_matches({c}, '{_HAN}') then len(regexp_extract_all(regexp_replace({c}, '({_HAN})', ' \\1 ', 'g'), '{_UNIT.replace(chr(39), chr(39) * 2)}')) else {_WC(c)} end)"
+_STRIP = lambda c: f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+_CLOSED = lambda a: f"(case when {a}.k > 0 then list_append({a}.done, {a}.open) else {a}.done end)"
+_EMPTY = "struct_pack(done := []::varchar[], open := '', k := 0, n := 0::bigint, t := '', w := 0::bigint, c := []::varchar[])"
+_NEXT = lambda done, open_, k, n: f"struct_pack(done := {done}, open := {open_}, k := {k}, n := ({n})::bigint, t := '', w := 0::bigint, c := []::varchar[])"
+_JOIN = lambda glue: f"case when a.k = 0 then e.t else a.open || '{glue}' || e.t end"
+_PACK = lambda glue, wide: "case when " + ("a.k = 0 or a.n + e.w <= 200" if not wide else "a.n + e.w <= 200") + f" then {_NEXT('a.done', _JOIN(glue), 'a.k + 1', 'a.n + e.w')} " + (f"when e.w > 200 then {_NEXT(f'list_concat({_CLOSED(chr(97))}, e.c)', chr(39) * 2, '0', '0')} " if wide else "") + f"else {_NEXT(_CLOSED('a'), 'e.t', '1', 'e.w')} end"
+_ITEM = lambda t, w, c: f"struct_pack(done := []::varchar[], open := '', k := 0, n := 0::bigint, t := {t}, w := ({w})::bigint, c := {c})"
+_WINDOWS = lambda c: f"list_transform(range(0, greatest({_WC(c)}, 1), 200), lambda i: array_to_string(list_filter(regexp_split_to_array({c}, '{_WS}+'), lambda w: w <> '')[i + 1:i + 200], ' '))"
+_RUN = "(?:[^\\P{L}" + _HAN[1:-1] + "]|\\p{N})+"
+_EACH = f"regexp_extract_all(x, '[^\\p{{L}}\\p{{N}}]*(?:{_HAN}|{_RUN}(?:[''’]{_RUN})*)[^\\p{{L}}\\p{{N}}]*')"
+_CUTS = f"list_transform(range(0, len({_EACH}), 200), lambda i: array_to_string({_EACH}[i + 1:i + 200], ''))"
+_CHUNKS = f"""{_SECT}, lb as (select source_id, language from source_books where source_id is not null qualify row_number() over (partition by source_id order by updated_at desc nulls last, coalesce(title, '') desc) = 1),
+ls as (select section_id, coalesce({_LANG} = 'zh', false) as zh, paragraphs from sec left join lb using (source_id)),
+pa as (select section_id, zh, unnest(range(len(paragraphs)))::int as i, {_STRIP("coalesce(unnest(paragraphs), '')")} as t from ls),
+pn as (select *, case when zh then {_UC('t')} else {_WC('t')} end as n from pa where t <> ''),
+se as (select section_id, i, unnest(range(len(l))) as k, replace(unnest(l), chr(1), '.') as s from (select section_id, i, list_filter(string_split(regexp_replace(regexp_replace(t, '\\b({_ABBR}|[A-Z])\\.', '\\1' || chr(1), 'g'), '([.!?]){_WS}+', '\\1' || chr(2), 'g'), chr(2)), lambda x: trim(regexp_replace(x, '{_WS}+', ' ', 'g')) <> '') as l from pn where not zh and n > 200)),
+sw as (select *, {_WC('s')} as w from se),
+cg as (select section_id, i, k, list_reduce(list_prepend({_EMPTY}, list_transform(string_split(s, ', '), lambda x: {_ITEM('x', _WC('x'), '[]::varchar[]')})), lambda a, e: {_PACK(', ', False)}) as r from sw where w > 200 and contains(s, ', ')),
+cw as (select section_id, i, k, g[:len(g) - 1] as head, g[len(g)] as tail from (select section_id, i, k, {_CLOSED('r')} as g from cg)),
+wi as (select section_id, i, k, list_concat(head, case when {_WC('tail')} > 200 then {_WINDOWS('tail')} else [tail] end) as c from cw union all select section_id, i, k, {_WINDOWS('s')} from sw where w > 200 and not contains(s, ', ')),
+sl as (select section_id, i, list({_ITEM('s', 'w', 'coalesce(c, []::varchar[])')} order by k) as l from sw left join wi using (section_id, i, k) group by all),
+ep as (select section_id, i, {_CLOSED('r')} as g from (select section_id, i, list_reduce(list_prepend({_EMPTY}, l), lambda a, e: {_PACK(' ', True)}) as r from sl)),
+zf as (select section_id, i, list_transform(regexp_extract_all(t, '[^。！？!?；，]+[。！？!?；，]*[”’」』]*|[。！？!?；，]+'), lambda x: {_ITEM('x', '0', f'case when {_UC(chr(120))} > 200 then {_CUTS} else [x] end')}) as l from pn where zh and n > 200),
+zp as (select section_id, i, case when r.open <> '' then list_append(r.done, r.open) else r.done end as g from (select section_id, i, list_reduce(list_prepend({_EMPTY}, l), lambda a, e: case when {_UC('(a.open || e.t)')} <= 200 then {_NEXT('a.done', 'a.open || e.t', '1', '0')} else {_NEXT("list_concat(case when a.open <> '' then list_append(a.done, a.open) else a.done end, e.c[:len(e.c) - 1])", 'e.c[len(e.c)]', '1', '0')} end) as r from zf)),
+un as (select section_id, i, 0 as j, t as text from pn where n <= 200 union all select section_id, i, unnest(range(len(g))), unnest(g) from ep union all select section_id, i, unnest(range(len(g))), unnest(g) from zp union all select section_id, i, 0, t from pn where not zh and n > 200 and not exists (select 1 from ep where ep.section_id = pn.section_id and ep.i = pn.i)),
+uc as (select section_id, i, j, text, (case when zh then {_UC('text')} else {_WC('text')} end)::bigint as n from un join ls using (section_id)),
+ul as (select section_id, list(struct_pack(done := []::struct(text varchar, a int, b int)[], open := text, k := 0, n := n, a := i, b := i) order by i, j) as l from uc group by 1),
+ur as (select section_id, list_reduce(list_prepend(struct_pack(done := []::struct(text varchar, a int, b int)[], open := '', k := 0, n := 0::bigint, a := 0::int, b := 0::int), l), lambda x, e: case when x.n + e.n <= 200 then struct_pack(done := x.done, open := case when x.k = 0 then e.open else x.open || chr(10) || chr(10) || e.open end, k := x.k + 1, n := x.n + e.n, a := case when x.k = 0 then e.a else x.a end, b := e.b)
+  else struct_pack(done := case when x.k > 0 then list_append(x.done, struct_pack(text := x.open, a := x.a, b := x.b)) else x.done end, open := e.open, k := 1, n := e.n, a := e.a, b := e.b) end) as r from ul),
+uf as (select section_id, case when r.k > 0 then list_append(r.done, struct_pack(text := r.open, a := r.a, b := r.b)) else r.done end as c from ur),
+cd as (select section_id, unnest(range(len(c)))::int as chunk_index, unnest(c) as c from uf)"""
 ORACLES = {
+    "chunk_documents": f"with {_CHUNKS} select section_id, chunk_index, c.text as text, c.a as para_start, c.b as para_end, 'sha256:' || sha256(c.text) as text_hash from cd",
+    "chunk_summary": f"with {_CHUNKS} select regexp_matches(c.text, '{_HAN}') as han, count(*) as chunks, max({_UC('c.text')})::int as most_units, sum(length(c.text))::bigint as chars from cd group by 1",
     "heading_ordinals": f"with n as (select distinct n, n * 199 as m from (select word_count as n from sections union all select chunk_index + 1 from chunks) where n > 0) select n, {_ROMAN} as roman, n as back, {_SPELLED} as words from n",
     "text_counts": f"with {_SECT} select section_id, regexp_matches(text, '{_HAN}') as has_han, {_WC('text')} as words, case when regexp_matches(text, '{_HAN}') then len(regexp_extract_all({_APART}, '{_UNIT.replace(chr(39), chr(39) * 2)}')) else {_WC('text')} end as units, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}'']+')) as tokens from sec",
     "text_plain_sentences": f"select doc_id, case when regexp_matches(text, '{_HAN}') then len(list_filter(regexp_extract_all(text, '[^。！？!?]+[。！？!?]*[”’」』]*|[。！？!?]+'), lambda x: trim(regexp_replace(x, '{_WS}+', ' ', 'g')) <> '')) else len(list_filter(string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(2), 'g'), chr(2)), lambda x: trim(regexp_replace(x, '{_WS}+', ' ', 'g')) <> '')) end as sentences from documents where text is not null",
