@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import audio as A
+from inkwell.functions import headings as H
 from inkwell.functions import text as T
 from inkwell.operators import artifacts as X
+from inkwell.plans.texts import _SPELL, _STOP
 from inkwell.plans.timelines import _ED, _POL, _S, _W, _edits, _seams, _words
 from inkwell.session import table
 
@@ -141,7 +143,14 @@ _MV = lambda rows, at: f"(select p.*, coalesce(r.shift, 0) as shift from {rows}
 _TEN = lambda c: f'(({c} + shift) * 10000)'
 _SEC4 = lambda c: f'(({_TEN(c)} // 24000 + case when {_TEN(c)} % 24000 > 12000 or {_TEN(c)} % 24000 = 12000 and ({_TEN(c)} // 24000) % 2 = 1 then 1 else 0 end) / 10000)'
 _LVL = "sqrt(list_sum(list_transform(a[i + 1:i + 2], lambda x: x * x)) / 2)"
+_NUMBERED = f"(regexp_matches(f, '{H.CHAPTER}') or regexp_matches(f, '{H.ORDINAL}'))"
+_HB = f"""hb as (select section_id, section_type as kind, case when ordinal > 0 then ordinal end as o, list_filter([{_CLEAN("coalesce(heading.display_label, '')")}, {_CLEAN("coalesce(heading.display_title, '')")}], lambda x: x <> '') as ts, coalesce(epub_item_name, '') as nav, section_id % 2 = 0 as en from sec where section_type is not null),
+hc as (select *, coalesce(ts[1], '') as f, coalesce(ts[2], '') as g, len(ts) as n, case when kind = 'other' then '' else upper(kind[1]) || kind[2:] end as def from hb),
+hd as (select *, {_NUMBERED} as num, regexp_replace(lower(f), '^[ .:]+|[ .:]+$', '', 'g') = kind as same from hc),
+he as (select *, case when kind = 'chapter' then case when n > 0 and num then f else '' end when n = 0 then case when def <> '' then def else nav end when same then f else def end as label,
+case when kind = 'chapter' then case when n = 0 then nav when num then g when n > 1 then f || ' — ' || g else f end when n = 0 then case when def <> '' and nav <> '' and lower(nav) <> lower(def) then nav else '' end when same then g else array_to_string(ts, ' — ') end as title from hd)"""
 ORACLES = {
+    "heading_built": f"with {_SEC}, {_HB} select section_id, label, title, case when kind <> 'chapter' then {_STOP("concat_ws('. ', nullif(label, ''), nullif(title, ''))")} when o is not null and en then {_STOP(f"concat_ws('. ', 'Chapter ' || {_SPELL('o')}, nullif(title, ''))")} when o is not null then {_STOP("coalesce(nullif(array_to_string(ts, ' '), ''), concat_ws(' ', nullif(label, ''), nullif(title, '')))")} when title <> '' then title else label end as spoken from he",
     "section_elements": f"with {_SEC}, {_EL} select * from ei",
     "artifact_parse": f"with {_SEC}, {_EL} select sec.section_id, 2 as version, sec.sequence, count(ei.place)::int as elements, sha256(coalesce(string_agg(element_id || '|' || ei.text, chr(10) order by place), '')) as hash from sec left join ei using (section_id) group by all",
     "artifact_chunks": f"with {_SEC}, {_CK}, c as (select * from ck where text is not null and section_id is not null) select section_id, any_value(sec.sequence) as sequence, count(*)::int as chunks, sha256(string_agg('sha256:' || sha256(c.text), ',' order by chunk_index, chunk_id)) as hash, first(para_start order by chunk_index, chunk_id) as para_start, last(para_end order by chunk_index, chunk_id) as para_end from c join sec using (section_id) group by section_id",

@@ -183,7 +183,18 @@ ur as (select section_id, list_reduce(list_prepend(struct_pack(done := []::struc
   else struct_pack(done := case when x.k > 0 then list_append(x.done, struct_pack(text := x.open, a := x.a, b := x.b)) else x.done end, open := e.open, k := 1, n := e.n, a := e.a, b := e.b) end) as r from ul),
 uf as (select section_id, case when r.k > 0 then list_append(r.done, struct_pack(text := r.open, a := r.a, b := r.b)) else r.done end as c from ur),
 cd as (select section_id, unnest(range(len(c)))::int as chunk_index, unnest(c) as c from uf)"""
+_SPELL = lambda n: _SPELLED.replace("(m ", f"({n} ").replace("m::", f"{n}::").replace(" m ", f" {n} ").replace("when m ", f"when {n} ")
+_COUNT = lambda c, x: f"(length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}"
+_ROMAN_OF = lambda c: "(case when " + f"{c} <> '' and regexp_matches({c}, '{H.ROMAN}') then " + " + ".join(f"{_COUNT(c, s)} * {v}" for s, v in (("I", 1), ("V", 5), ("X", 10), ("L", 50), ("C", 100), ("D", 500), ("M", 1000))) + " - " + " - ".join(f"{_COUNT(c, s)} * {v}" for s, v in (("IV", 2), ("IX", 2), ("XL", 20), ("XC", 20), ("CD", 200), ("CM", 200))) + " end)"
+_ORDINAL_OF = lambda c: f"(case when regexp_full_match({c}, '\\d+') then nullif(try_cast({c} as int), 0) else {_ROMAN_OF(f'upper({c})')} end)"
+_STOP = lambda c: f"(case when trim({c}) = '' then '' when regexp_matches(trim({c}), '[.?!。！？]$') then trim({c}) else trim({c}) || '.' end)"
+_PLAIN = lambda c: "trim(regexp_replace(regexp_replace(" + c + ", '[\\x{feff}\\x{200b}\\x{200c}\\x{200d}\\x{2060}]', '', 'g'), '" + _WS + "+', ' ', 'g'))"
+_NAMED = f"""hx as (select section_id, heading.display_label as label, coalesce(heading.display_title, '') as title, coalesce(ordinal, 1) as m1, {_PLAIN('heading.display_label')} as t, regexp_replace(lower(heading.display_label), '^[ .:]+|[ .:]+$', '', 'g') as low from sec where heading is not null),
+hy as (select *, regexp_matches(label, '{H.CHAPTER}') as ch, {_ORDINAL_OF(f"regexp_extract(label, '{H.CHAPTER}', 1)")} as cn, {_ORDINAL_OF(f"regexp_extract(label, '{H.ORDINAL}', 1)")} as bn, regexp_extract(t, '{H.CHAPTER}', 1) <> '' as named from hx),
+hz as (select *, case when named then {_ORDINAL_OF(f"regexp_extract(t, '{H.CHAPTER}', 1)")} else {_ORDINAL_OF(f"regexp_extract(t, '{H.ORDINAL}', 1)")} end as ln, {_PLAIN(f"case when named then regexp_extract(t, '{H.CHAPTER}', 2) else regexp_extract(t, '{H.ORDINAL}', 2) end")} as lt from hy)"""
+_KINDS = " ".join(f"when low = '{k}' or starts_with(low, '{k} ') then '{k}'" for k in H.SECTION_TYPES)
 ORACLES = {
+    "heading_spoken": f"with {_SECT}, {_NAMED} select section_id, case when ch or bn is not null then 'chapter' {_KINDS} end as kind, (case when ch then cn else bn end)::int as number, {_STOP(f"concat_ws('. ', 'Chapter ' || {_SPELL('m1')}, nullif(title, ''))")} as spoken, case when ln is not null then {_STOP(f"concat_ws('. ', 'Chapter ' || {_SPELL('ln')}, nullif(lt, ''))")} else label end as legacy from hz",
     "chunk_documents": f"with {_CHUNKS} select section_id, chunk_index, c.text as text, c.a as para_start, c.b as para_end, 'sha256:' || sha256(c.text) as text_hash from cd",
     "chunk_summary": f"with {_CHUNKS} select regexp_matches(c.text, '{_HAN}') as han, count(*) as chunks, max({_UC('c.text')})::int as most_units, sum(length(c.text))::bigint as chars from cd group by 1",
     "heading_ordinals": f"with n as (select distinct n, n * 199 as m from (select word_count as n from sections union all select chunk_index + 1 from chunks) where n > 0) select n, {_ROMAN} as roman, n as back, {_SPELLED} as words from n",
