@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import synthesis as S
 from inkwell.operators import folds
 from inkwell.plans import dialogues
+from inkwell.plans.texts import _HAN, _RUN, _UC, _WS
 from inkwell.session import table
 
 #: A pool of voices with their sex.
@@ -64,4 +65,17 @@ def synth_aligned(s, d):
 
 
 QUERIES = {f.__name__: f for f in (synth_units, synth_paragraphs, synth_spoken, synth_groups, synth_candidates, synth_voices, synth_aligned)}
-ORACLES: dict[str, str] = {}
+_OF = lambda sex: [v for v, x in POOL if x == sex]
+_FREE = lambda sex: f"list_filter({[v for v, _ in POOL]}, lambda v: not list_contains(a.u, v)" + (f" and (e.g = 'female' and list_contains({_OF('female')}, v) or e.g = 'male' and list_contains({_OF('male')}, v)))" if sex else ")")
+_CHOICE = f"coalesce({_FREE(True)}[1], {_FREE(False)}[1], ({[v for v, _ in POOL]})[a.turn % {len(POOL)} + 1])"
+_BARE = f"trim(regexp_replace(regexp_replace(regexp_replace(replace(text, '\ufeff', ''), '{S._CUE}', '', 'g'), '<[^>]+>', ' ', 'g'), '{_WS}+', ' ', 'g'))"
+_UNIT_AND = f"(?:{_HAN}|{_RUN}(?:[''’]{_RUN})*)[^\\p{{L}}\\p{{N}}]*"
+ORACLES = {
+    "synth_voices": f"""with p as (select * from character_profiles where source_id is not null and build is not null and canonical is not null qualify row_number() over (partition by character_id order by character_id) = 1),
+l as (select source_id, build, list(struct_pack(n := canonical, g := case when lower(gender) like 'f%' then 'female' when lower(gender) like 'm%' then 'male' else 'unknown' end, u := []::varchar[], turn := 0, o := []::struct(name varchar, voice varchar)[]) order by character_id) as l from p group by all),
+r as (select source_id, build, list_reduce(list_prepend(struct_pack(n := '', g := '', u := []::varchar[], turn := 0, o := []::struct(name varchar, voice varchar)[]), l), lambda a, e: struct_pack(n := e.n, g := e.g, u := list_append(a.u, {_CHOICE}), turn := a.turn + (len({_FREE(False)}) = 0)::int, o := list_append(a.o, struct_pack(name := e.n, voice := {_CHOICE})))) as r from l),
+o as (select source_id, build, unnest(r.o) as x from r) select source_id, build, x.name as name, x.voice as voice from o""",
+    "synth_spoken": f"""with c as (select chunk_id, {_BARE} as b from (select * from chunks where text is not null qualify row_number() over (partition by chunk_id order by chunk_id) = 1)),
+h as (select *, regexp_matches(b, '{_HAN}') as han, list_last(list_filter(regexp_extract_all(b, '[^。！？!?]+[。！？!?]*[”’」』]*|[。！？!?]+'), lambda s: trim(s) <> '')) as hs, string_split(trim(list_last(regexp_extract_all(b, '[^.!?]+[.!?]["''”’]*|[^.!?]+$'))), ' ') as ls from c)
+select chunk_id, length(b)::int as chars, regexp_matches(b, '[\\p{{L}}\\p{{N}}]') as spoken, case when b = '' then '' when han then case when {_UC('hs')} > 30 then array_to_string(regexp_extract_all(hs, '{_UNIT_AND}')[-30:], '') else hs end else coalesce(case when len(ls) > 30 then array_to_string(ls[-30:], ' ') else array_to_string(ls, ' ') end, '') end as context from h""",
+}
