@@ -13,6 +13,8 @@ from inkwell.session import cut
 
 #: Documents a flight takes at once; a source of any size is spread over blocks of about this many.
 BLOCK = 4096
+#: The most tasks a round of flights is spread over.
+MOST_TASKS = 2000
 SEED = 20261126
 _EPS = 1e-9
 
@@ -100,6 +102,12 @@ def sizes(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     return sized.withColumn("uses", F.when(F.col("have_tokens") > 0, F.least(F.try_divide(F.col("target_share") * F.col("mix_size"), F.col("have_tokens")), F.col("max_repeats").cast("double"))))
 
 
+def usable_documents(tokens: DataFrame) -> DataFrame:
+    """``doc_id, source, n_tokens`` of the documents a mix may use, each once; of several deliveries the one of most tokens, then of the last source."""
+    rows = tokens.filter("doc_id is not null and source is not null and n_tokens > 0")
+    return rows.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("d")).select("doc_id", "d.source", "d.n_tokens")
+
+
 def mix(tokens: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
     """``mix_name, source, doc_id, n_tokens, repeats``: the documents of each mix.
 
@@ -116,19 +124,21 @@ def mix(tokens: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
     empty tables give no rows; ties are settled by doc_id; the same input gives
     the same mix on any cluster.
     """
-    usable = tokens.filter("doc_id is not null and source is not null and n_tokens > 0").dropDuplicates(["doc_id"]).select("doc_id", "source", "n_tokens")
+    usable = usable_documents(tokens)
     plan = sizes(usable, targets).filter("uses > 0")
     rows = usable.join(plan.select("mix_name", "source", "uses", "have_docs"), "source").withColumn("base", F.floor(F.col("uses") + _EPS).cast("int")).withColumn("chance", F.greatest(F.lit(0.0), F.col("uses") - F.col("base")))
     rows = rows.withColumn("chance", F.when(F.col("chance") < _EPS, 0.0).otherwise(F.col("chance")))
     kept = ["mix_name", "source", "doc_id", "n_tokens", "base", "chance", "blocks"]
     schema = "mix_name string, source string, doc_id bigint, n_tokens int, base int, chance double, blocks bigint"
     rows = rows.withColumn("blocks", F.ceil(F.col("have_docs") / block)).select(kept)
-    most = usable.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    most, all_blocks = usable.groupBy("source").count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("count") / block)), F.lit(1))).first()
+    tasks = min(all_blocks, MOST_TASKS)
     blocks, done = -(-most // block), [rows.filter("chance = 0")]
     rows = rows.filter("chance > 0")
     while True:
         number = F.pmod(F.xxhash64("doc_id", "blocks"), F.greatest("blocks", F.lit(1))).cast("int")
-        flown = rows.withColumn("block", number).groupBy("mix_name", "source", "block").applyInPandas(_fly, schema)
+        # a task a block, as far as that goes: the blocks are few bytes but much work, and would be joined into one task
+        flown = rows.withColumn("block", number).repartition(tasks, "mix_name", "source", "block").groupBy("mix_name", "source", "block").applyInPandas(_fly, schema)
         if blocks <= 1:
             done.append(flown)
             break
@@ -143,8 +153,8 @@ def mix(tokens: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def report(mixed: DataFrame, tokens: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and actual share of each source in each mix, in tokens."""
-    plan = sizes(tokens, targets).select("mix_name", "source", "target_share", "max_repeats", "have_docs", "have_tokens")
+    """Target and actual share of each source in each mix, in tokens, against the documents ``mix`` may use."""
+    plan = sizes(usable_documents(tokens), targets).select("mix_name", "source", "target_share", "max_repeats", "have_docs", "have_tokens")
     used = mixed.groupBy("mix_name", "source").agg(F.count("*").alias("docs"), F.sum(F.col("n_tokens").cast("bigint") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
     out = plan.join(used, ["mix_name", "source"], "left").fillna(0, ["docs", "tokens", "most_repeats"])
     return out.withColumn("actual_share", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy("mix_name"))), F.lit(0.0)))

@@ -325,3 +325,15 @@ def test_prefilter_is_a_bound():
     values[2, 8:12] = 4.4  # sums to 17.6, the windows' means to 29.3
     starts, lengths, kinds = residue._found(np.arange(20), np.zeros(20, int), values)
     assert starts.tolist() == [0] and lengths.tolist() == [20] and kinds.tolist() == [2]
+
+
+def test_report_and_mix_count_a_document_once(spark):
+    tokens = [(i, "a" if i % 3 else "b", 10 + i % 7) for i in range(300)]
+    df = spark.createDataFrame(tokens + tokens[:100] + [(5, "a", 3)], "doc_id bigint, source string, n_tokens int")
+    targets = spark.createDataFrame([("m", "a", 0.5, 2), ("m", "b", 0.5, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    mixed = mixing.mix(df, targets)
+    rows = {r.source: r for r in mixing.report(mixed, df, targets).collect()}
+    assert rows["a"].have_docs == 200 and rows["b"].have_docs == 100
+    assert rows["a"].have_tokens == sum(n for _, s, n in tokens if s == "a")
+    assert abs(rows["a"].actual_share - 0.5) < 0.02 and max(r.most_repeats for r in rows.values()) <= 2
+    assert mixed.groupBy("mix_name", "doc_id").count().filter("count > 1").count() == 0
