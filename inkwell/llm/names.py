@@ -347,10 +347,11 @@ def _meeting(forms: DataFrame, carried: Sequence[str], within: Sequence[str] = (
     by is joined to the distinct pairs.
     """
     keys = forms.select("id", *within, F.explode("blocks").alias("block"))
-    side = lambda at: F.substring("block", at, 1).cast("int")
-    rows = keys.select("id", F.xxhash64(*within, F.substring("block", 3, 1 << 30)).alias("key"), side(1).alias("gives"), side(2).alias("takes"))
-    taking = rows.filter("takes > 0").select("key", "takes", F.col("id").alias("other"))
-    both = rows.filter("gives > 0").select("key", "gives", "id").join(taking.hint("merge"), "key").filter("(gives & takes) > 0 and id <> other")
+    rows = keys.select("id", F.xxhash64(*within, F.substring("block", 3, 1 << 30)).alias("key"), F.left("block", F.lit(2)).cast("int").alias("sides"))
+    # both ends of the join have the same columns and no filter, so that they read one exchange
+    other = rows.select(F.col("id").alias("other"), "key", F.col("sides").alias("other_sides"))
+    given_, taken = F.floor(F.col("sides") / 10).cast("int"), F.col("other_sides") % 10
+    both = rows.hint("merge").join(other.hint("merge"), "key").filter((given_.bitwiseAND(taken) > 0) & (F.col("id") != F.col("other")))
     pairs = both.select(F.least("id", "other").alias("low"), F.greatest("id", "other").alias("high")).distinct()
     known = lambda id_, it: forms.select(F.col("id").alias(id_), F.struct("id", *within, *carried).alias(it))
     # merged, not broadcast: the forms grow with the data, and building their tables would fill the driver
