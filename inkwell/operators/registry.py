@@ -34,18 +34,30 @@ def cleaned(raw: DataFrame) -> DataFrame:
 
 
 def grounded(characters: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """Characters a text names, by canonical or alias; others by their only form one edit away, or left out.
+    """Characters any text of their key names, by canonical or alias; others by their only form one edit away, or left out.
 
-    ``texts`` has key and text.  Result: the characters with their canonical as
-    the text spells it.
+    ``texts`` has key and text.  Result: the characters, each once, with their
+    canonical as the texts spell it.  A name is looked for only in texts that
+    have its first word, found through an index of words, so that no character
+    meets every text of a large book.
+
+    Defined cases: null and empty names and texts are never found; repeated
+    characters give repeated rows; no rows give no rows.
     """
-    both = characters.join(texts.select(key, F.col("text").alias("__text")), key)
-    names = F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))
-    named = both.withColumn("__hit", F.exists(names, lambda n: contains_name(F.col("__text"), n)))
-    lost = named.filter(~F.col("__hit")).select(key, F.col("canonical").alias("name")).distinct()
+    first_word = lambda c: F.regexp_extract(F.lower(c), "(?U)\\w+", 0)
+    every = F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))
+    known = characters.withColumn("__c", F.xxhash64("canonical", "aliases"))
+    names = known.select(key, "__c", F.explode(every).alias("__name")).filter("__name is not null").withColumn("__w", first_word(F.col("__name"))).filter("__w <> ''")
+    source = texts.filter("text is not null").select(key, "text", F.xxhash64("text").alias("__i"))
+    words = source.select(key, "__i", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?U)\\w+"), F.lit(0)))).alias("__w"))
+    likely = names.select(key, "__name", "__w").distinct().join(words, [key, "__w"]).select(key, "__name", "__i").distinct()
+    seen_names = likely.join(source.distinct(), [key, "__i"]).filter(contains_name(F.col("text"), F.col("__name"))).select(key, "__name").distinct()
+    hits = names.join(seen_names, [key, "__name"]).select(key, "__c").distinct().withColumn("__hit", F.lit(True))
+    marked = known.join(hits, [key, "__c"], "left").drop("__c").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    lost = marked.filter(~F.col("__hit")).select(key, F.col("canonical").alias("name")).distinct()
     seen = texts.select(key, F.explode(observed_names(F.col("text"))).alias("form"))
     repairs = dialogue.spelling_repairs(lost, seen, [key]).withColumnRenamed("name", "canonical")
-    joined = named.drop("__text").join(repairs, [key, "canonical"], "left")
+    joined = marked.join(repairs, [key, "canonical"], "left")
     return joined.filter("__hit or repair is not null").withColumn("canonical", F.when(F.col("__hit"), F.col("canonical")).otherwise(F.col("repair"))).drop("__hit", "repair")
 
 
