@@ -155,7 +155,7 @@ ORACLES = {
     "artifact_parse": f"with {_SEC}, {_EL} select sec.section_id, 2 as version, sec.sequence, count(ei.place)::int as elements, sha256(coalesce(string_agg(element_id || '|' || ei.text, chr(10) order by place), '')) as hash from sec left join ei using (section_id) group by all",
     "artifact_chunks": f"with {_SEC}, {_CK}, c as (select * from ck where text is not null and section_id is not null) select section_id, any_value(sec.sequence) as sequence, count(*)::int as chunks, sha256(string_agg('sha256:' || sha256(c.text), ',' order by chunk_index, chunk_id)) as hash, first(para_start order by chunk_index, chunk_id) as para_start, last(para_end order by chunk_index, chunk_id) as para_end from c join sec using (section_id) group by section_id",
     "artifact_sync": f"with {_SY} select * from sy",
-    "coverage_lines": f"with {_SY} select source_id, 'section ' || lpad(sequence::varchar, 2, '0') || ': ' || aligned || '/' || reader || ' words (' || format('{{:.1f}}', round_even(ratio * 1000, 0) / 10) || '%)' as line from sy",
+    "coverage_lines": f"with {_SY} select source_id, 'section ' || case when sequence < 10 then '0' else '' end || sequence || ': ' || aligned || '/' || reader || ' words (' || format('{{:.1f}}', round_even(ratio * 1000, 0) / 10) || '%)' as line from sy",
     "timeline_built": f"with {_DU}, g as (select *, coalesce(sum(frames) over w, 0) as earlier, coalesce(sum((frames is not null)::int) over w, 0) as before from du window w as (partition by track_id order by chunk_index rows between unbounded preceding and 1 preceding)), k as (select *, {LEAD} + earlier + sum(case when frames is not null and before > 0 then 14400 else 0 end) over (partition by track_id order by chunk_index) as pos from g) select track_id, chunk_index, frames, (case when frames is null then -1 else pos end)::bigint as start_frame, (case when frames is not null then pos + frames end)::bigint as end_frame from k",
     "timeline_units": f"with {_DU}, u as (select *, case chunk_index % 4 when 0 then 8400 when 1 then 4320 when 2 then 2880 when 3 then 14400 else 0 end as p from du where frames is not null), c as (select *, sum(frames) over (partition by track_id order by chunk_index) + coalesce(sum(p) over (partition by track_id order by chunk_index rows between unbounded preceding and 1 preceding), 0) as fin from u) select track_id, chunk_index, (fin - frames)::bigint as start_frame, fin::bigint as end_frame, (fin + p)::bigint as pause_end_frame from c",
     "seam_shifted_times": f"with {_ED}, {_W}, {_SH}, f as (select track_id, word_index, floor(start_s * 24000 + 0.5)::bigint as a, floor(end_s * 24000 + 0.5)::bigint as b from ww where start_s >= 0 and end_s >= 0), x as (select track_id, word_index, b, {_SEC4('a')} as start_s from {_MV('f', 'a')}), y as (select track_id, word_index, start_s, {_SEC4('b')} as end_s from {_MV('x', 'b')}) select * from y",
