@@ -85,8 +85,8 @@ _MONTHS = frozenset(MONTHS.split())
 
 def _spoken(text: str) -> str | None:
     """The language most function words of a text are of, if it has any."""
-    seen = Counter(w.lower() for w in _LATIN_WORDS.findall(text))
-    votes = {k: sum(seen[w] for w in words) for k, words in _FUNCTION.items()}
+    seen = Counter(_LATIN_WORDS.findall(text.lower()))
+    votes = {k: sum(seen[w] for w in words & seen.keys()) for k, words in _FUNCTION.items()}
     best = max(votes, key=votes.get)
     return best if votes[best] else None
 
@@ -118,8 +118,13 @@ class Tongue:
         if self.tag and word in by_language.get(self.tag, ()):
             return True
         low, high = max(0, at - AROUND), at + AROUND
-        told = {self.whole, *(_spoken(self.text[a:b]) for a, b in ((low, high), (low, at), (at, high)))} - {None} or {self.tag} - {None}
-        return not told or any(word in by_language.get(k, ()) for k in told)
+        silent = True
+        for begin, end in ((low, high), (low, at), (at, high), (0, 0)):
+            told = _spoken(self.text[begin:end]) if end else self.whole
+            if told and word in by_language.get(told, ()):
+                return True
+            silent &= told is None
+        return silent and (self.tag is None or word in by_language.get(self.tag, ()))
 
 
 def _of_property(name: str) -> str:
