@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import direction as D
@@ -14,22 +14,30 @@ from inkwell.operators.relational import islands
 
 def quotes(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "text") -> DataFrame:
     """One row per quote, numbered over the chunks of each key, in batches of twenty."""
-    found = df.select(*keys, *order, F.inline(D.quote_spans(F.col(text))))
+    return numbered(df.select(*keys, *order, F.inline(D.quote_spans(F.col(text)))), keys, order)
+
+
+def numbered(found: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Quotes of each key numbered in order, in batches of twenty."""
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "start")) - 1
     return found.withColumn("quote_id", number).withColumn("batch", F.floor(number / D.QUOTE_BATCH).cast("int"))
 
 
-def tiled_spans(texts: DataFrame, said: DataFrame, key: str) -> DataFrame:
+def tiled_spans(texts: DataFrame, said: DataFrame, key: str, chars: Column | None = None) -> DataFrame:
     """Quotes with speakers to spans that tile each text: gaps are the narrator's, equal neighbours merge.
 
-    ``texts`` has key and text; ``said`` key, start, end, speaker.  Gaps come
-    from the neighbours' ends, runs of equal speakers are islands.
+    ``texts`` has key and text, or instead of the text its length, ``chars``;
+    ``said`` key, start, end, speaker.  Each text's end is a mark behind its
+    quotes, so gaps come from the ends before them in one pass and nothing is
+    joined; runs of equal speakers are islands.
     """
-    w = Window.partitionBy(key).orderBy("start")
-    rows = said.select(key, "start", "end", "speaker").withColumn("__before", F.coalesce(F.lag("end").over(w), F.lit(0)))
-    inner = rows.select(key, F.inline(F.array(F.struct(F.col("__before").alias("start"), F.col("start").alias("end"), F.lit(D.NARRATOR).alias("speaker")), F.struct("start", "end", "speaker"))))
-    last = texts.select(key, F.length("text").alias("__len")).join(said.groupBy(key).agg(F.max("end").alias("__end")), key, "left").select(key, F.coalesce("__end", F.lit(0)).alias("start"), F.col("__len").alias("end"), F.lit(D.NARRATOR).alias("speaker"))
-    spans = inner.unionByName(last).filter("end > start")
+    w = Window.partitionBy(key).orderBy("__mark", "start")
+    quoted = said.select(key, "start", "end", "speaker", F.lit(False).alias("__mark"))
+    length = F.length("text") if chars is None else chars
+    marks = texts.select(key, length.alias("start"), length.alias("end"), F.lit(D.NARRATOR).alias("speaker"), F.lit(True).alias("__mark"))
+    before = F.when(F.col("__mark"), F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).otherwise(F.lag("end").over(w))
+    rows = quoted.unionByName(marks).withColumn("__before", F.coalesce(before, F.lit(0)))
+    spans = rows.select(key, F.inline(F.array(F.struct(F.col("__before").alias("start"), F.col("start").alias("end"), F.lit(D.NARRATOR).alias("speaker")), F.struct("start", "end", "speaker")))).filter("end > start")
     spans = spans.withColumn("delivery_type", D.delivery_type(F.lit(None).cast("string"), F.col("speaker")))
     spans = spans.withColumn("voice_policy", D.voice_policy(F.lit(None).cast("string"), F.col("speaker"), F.col("delivery_type")))
     runs = islands(spans, [key], ["start"], ["speaker", "delivery_type", "voice_policy"])

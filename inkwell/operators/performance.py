@@ -106,11 +106,16 @@ def attributed(quotes: DataFrame, answers: DataFrame, resolved: DataFrame, scope
     """
     counted = answers.groupBy(*scope, "quote_id").agg(F.min("speaker").alias("speaker"), F.count("*").alias("__n"))
     rows = quotes.join(counted, [*scope, "quote_id"], "left").join(resolved, [*scope, "speaker"], "left")
-    fault = F.when(F.col("__n").isNull(), "missing").when(F.col("__n") > 1, "repeated")
+    name, how = settled(F.when(F.col("__n").isNull(), "missing").when(F.col("__n") > 1, "repeated"))
+    return rows.select(*quotes.columns, name.alias("name"), how.alias("how"))
+
+
+def settled(fault: Column) -> tuple[Column, Column]:
+    """The name and how it was settled, of rows with speaker, canonical and repair; no name where there is a ``fault``."""
     narrator = D.norm(F.col("speaker")) == D.NARRATOR
     name = F.when(fault.isNull(), F.when(narrator, D.NARRATOR).otherwise(F.coalesce("canonical", "repair", "speaker")))
     how = F.when(fault.isNotNull(), fault).when(narrator, "narrator").when(F.col("canonical").isNotNull(), "resolved").when(F.col("repair").isNotNull(), "repaired").otherwise("as answered")
-    return rows.select(*quotes.columns, name.alias("name"), how.alias("how"))
+    return name, how
 
 
 def or_narrator(spans: DataFrame, texts: DataFrame, faulty: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import dialogue as O
 from inkwell.operators import performance as P
+from inkwell.plans import directions
 
 SEGMENT = "id int, speaker string, text string, delivery_type string, voice_policy string, join_policy string, emotion string, speed string, intensity string, pause string, synthesis_text string"
 
@@ -91,3 +92,33 @@ def test_voices_and_registers(spark):
     assert [r[0] for r in df.select(P.voice_sex(F.col("v"))).collect()] == ["unknown", "female", "unknown", "unknown"]
     said = spark.createDataFrame([("He spoke aloud.",), ("“Go.”",), ("He went.",)], "t string")
     assert [r[0] for r in said.select(P.needs_registry(F.col("t"))).collect()] == [True, True, False]
+
+
+def told(spark, folder):
+    """Quotes for each way a name is settled, a repeated chunk, one without quotes, and one of no book."""
+    chunks = [("a", 1, 0, 1, "“Go.” said Ann Lee. “No,” cried Mr. Hall, and “Stay,” said Jonsenn."), ("a", 1, 1, 2, "“Now,” said Ann Lee. " + "They waited. " * 6 + "“Wait.”"), (None, 2, 0, 3, "“Yes,” said Bob, and rose."), ("b", 3, 0, 4, "Nobody spoke."), ("b", 3, 1, 5, "“So it was,” said Narrator. “Yes,” said Ann Lee.")]
+    spark.createDataFrame([*chunks, chunks[0]], "source_id string, section_id bigint, chunk_index int, chunk_id bigint, text string").write.parquet(f"{folder}/chunks.parquet")
+    people = [(1, "a", "John Hall", ["Mr. Hall", None]), (2, "a", "Jonsen", None)]
+    spark.createDataFrame(people, "character_id bigint, source_id string, canonical string, aliases array<string>").write.parquet(f"{folder}/character_profiles.parquet")
+    return str(folder)
+
+
+def as_its_sql(spark, folder, name):
+    """The query's rows, found to be those of its SQL, from a plan of few shuffles (the driver holds all stages and their metrics)."""
+    import duckdb
+
+    df = directions.QUERIES[name](spark, folder)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") < 25
+    duck = duckdb.connect()
+    for x in ("chunks", "character_profiles"):
+        duck.execute(f"create view {x} as select * from '{folder}/{x}.parquet/*.parquet'")
+    want = duck.execute(f"select {', '.join(chr(34) + c + chr(34) for c in df.columns)} from ({directions.ORACLES[name]})").fetchall()
+    rows = sorted(map(tuple, df.collect()), key=repr)
+    assert rows == sorted(want, key=repr)
+    return rows
+
+
+def test_attributed_spans_as_sql(spark, tmp_path):
+    rows = as_its_sql(spark, told(spark, tmp_path), "attribution_spans")
+    assert [r[3] for r in sorted(rows) if r[0] == 1 and r[3] != "narrator"] == ["Ann Lee", "john hall", "jonsen"]
+    assert [r for r in rows if r[0] in (2, 3)] == [(2, 0, 106, "narrator"), (3, 0, 6, "Bob"), (3, 6, 26, "narrator")]
