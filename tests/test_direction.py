@@ -96,7 +96,7 @@ def test_voices_and_registers(spark):
 
 def told(spark, folder):
     """Quotes for each way a name is settled, a repeated chunk, one without quotes, and one of no book."""
-    chunks = [("a", 1, 0, 1, "“Go.” said Ann Lee. “No,” cried Mr. Hall, and “Stay,” said Jonsenn."), ("a", 1, 1, 2, "“Now,” said Ann Lee. " + "They waited. " * 6 + "“Wait.”"), (None, 2, 0, 3, "“Yes,” said Bob, and rose."), ("b", 3, 0, 4, "Nobody spoke."), ("b", 3, 1, 5, "“So it was,” said Narrator. “Yes,” said Ann Lee.")]
+    chunks = [("a", 1, 0, 1, "“Go.” said Ann Lee. “No,” cried Mr. Hall, and “Stay,” said Jonsenn."), ("a", 1, 1, 2, "“Now,” said Ann Lee, " + "they waited. " * 6 + "“Wait.”"), (None, 2, 0, 3, "“Yes,” said Bob, and rose."), ("b", 3, 0, 4, "Nobody spoke."), ("b", 3, 1, 5, "“So it was,” said Narrator. “Yes,” said Ann Lee.")]
     spark.createDataFrame([*chunks, chunks[0]], "source_id string, section_id bigint, chunk_index int, chunk_id bigint, text string").write.parquet(f"{folder}/chunks.parquet")
     people = [(1, "a", "John Hall", ["Mr. Hall", None]), (2, "a", "Jonsen", None)]
     spark.createDataFrame(people, "character_id bigint, source_id string, canonical string, aliases array<string>").write.parquet(f"{folder}/character_profiles.parquet")
@@ -122,3 +122,9 @@ def test_attributed_spans_as_sql(spark, tmp_path):
     rows = as_its_sql(spark, told(spark, tmp_path), "attribution_spans")
     assert [r[3] for r in sorted(rows) if r[0] == 1 and r[3] != "narrator"] == ["Ann Lee", "john hall", "jonsen"]
     assert [r for r in rows if r[0] in (2, 3)] == [(2, 0, 106, "narrator"), (3, 0, 6, "Bob"), (3, 6, 26, "narrator")]
+
+
+def test_attributed_speakers_as_sql(spark, tmp_path):
+    rows = as_its_sql(spark, told(spark, tmp_path), "attribution_speakers")
+    assert {r[2:] for r in rows if r[0] == 1} == {("Ann Lee", "as answered"), ("john hall", "resolved"), ("jonsen", "repaired"), (None, "missing")}
+    assert [r for r in rows if r[0] == 2] == [(2, 0, "Bob", "as answered")] and {r[2:] for r in rows if r[0] == 3} == {("narrator", "narrator"), ("Ann Lee", "as answered")}
