@@ -65,8 +65,11 @@ def names_of(profiles: DataFrame, scope: Sequence[str], id_col: str = "character
 
 
 def resolve(speakers: DataFrame, names: DataFrame, scope: Sequence[str], speaker: str = "speaker", id_col: str = "character_id") -> DataFrame:
-    """Each speaker's profile: the only one of that full name, else (no full match) the only one of that short name."""
-    hit = speakers.withColumn("__key", D.norm(F.col(speaker))).join(names.withColumnRenamed("key", "__key"), [*scope, "__key"], "left")
+    """Each speaker's profile: the only one of that full name, else (no full match) the only one of that short name.
+
+    The names are never broadcast: the optimizer takes them for as large as the profiles they were exploded from.
+    """
+    hit = speakers.withColumn("__key", D.norm(F.col(speaker))).join(names.withColumnRenamed("key", "__key").hint("merge"), [*scope, "__key"], "left")
     of = lambda form: F.when(F.col("form") == form, F.col(id_col))
     full, short = F.count_distinct(of("full")), F.count_distinct(of("short"))
     one = F.when(full == 1, F.max(of("full"))).when((full == 0) & (short == 1), F.max(of("short")))
@@ -119,11 +122,13 @@ def spelling_repairs(names: DataFrame, observed: DataFrame, scope: Sequence[str]
     """Names of seven letters or more that a text lacks, to its only form one edit away.
 
     Candidates share the name less one letter, so no pair is formed but of near
-    forms; the distance is then bounded and checked in the JVM.
+    forms; the distance is then bounded and checked in the JVM.  Neither side is
+    broadcast: the optimizer's estimates know nothing of the exploded rows, so a
+    side far over its threshold would be built on the driver.
     """
     less = lambda c: F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
-    asked = names.filter(F.length("name") >= 7).join(observed.select(*scope, F.col("form").alias("name")), [*scope, "name"], "left_anti").distinct()
+    asked = names.filter(F.length("name") >= 7).join(observed.select(*scope, F.col("form").alias("name")).hint("merge"), [*scope, "name"], "left_anti").distinct()
     a = asked.select(*scope, "name", F.explode(less(F.col("name"))).alias("__k"))
-    b = observed.distinct().select(*scope, "form", F.explode(less(F.col("form"))).alias("__k"))
-    near = a.join(b, [*scope, "__k"]).select(*scope, "name", "form").distinct().filter(F.levenshtein("name", "form", 1) == 1)
+    b = observed.filter(F.length("form") >= 6).distinct().select(*scope, "form", F.explode(less(F.col("form"))).alias("__k"))
+    near = a.join(b.hint("merge"), [*scope, "__k"]).select(*scope, "name", "form").distinct().filter(F.levenshtein("name", "form", 1) == 1)
     return near.groupBy(*scope, "name").agg(F.count("*").alias("n"), F.min("form").alias("repair")).filter("n = 1").drop("n")

@@ -133,3 +133,18 @@ def test_attributed_speakers_as_sql(spark, tmp_path):
 def test_minimal_characters_as_sql(spark, tmp_path):
     rows = as_its_sql(spark, told(spark, tmp_path), "registry_minimal")
     assert sorted((r[0] or "", r[1], r[5]) for r in rows) == [("", "Bob", 1), ("a", "Ann Lee", 2), ("b", "Ann Lee", 1)]
+
+
+def test_names_larger_than_estimated(spark, tmp_path):
+    """Near forms of names, many times what the optimizer takes them for, are not built on the driver (a broadcast is at least a page of 64 MB here)."""
+    folder = told(spark, tmp_path)
+    hexes = lambda c, n: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.hex(F.xxhash64(F.col(c), i)))
+    texts = spark.range(100, 200).select(F.lit("d").alias("source_id"), F.col("id").alias("section_id"), F.lit(0).alias("chunk_index"), F.col("id").alias("chunk_id"), F.array_join(hexes("id", 2000), " ").alias("text"))
+    texts.coalesce(1).write.mode("append").parquet(f"{folder}/chunks.parquet")
+    people = spark.range(100, 6100).select(F.col("id").alias("character_id"), F.lit("c").alias("source_id"), F.concat_ws(" ", F.lit("Reader"), F.hex("id")).alias("canonical"), F.transform(hexes("id", 4), lambda a: F.concat(F.lit("Traveller "), a)).alias("aliases"))
+    people.coalesce(1).write.mode("append").parquet(f"{folder}/character_profiles.parquet")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "100m")
+    try:
+        as_its_sql(spark, folder, "attribution_speakers")
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
